@@ -2,7 +2,7 @@
 
 A document's shingles are ordered by a fixed global order: by hash, but shingles found in many documents last. Two sets that reach
 the threshold share a shingle among the first n - ceil(0.8 n) + 1 of each (n: its own size), its prefix. Sets with the same prefix
-and size form one group, and groups that share a prefix shingle are compared, filtered by size and by the place of the shingle, then
+and size form one group, and groups that share a prefix shingle are compared, filtered by size and by how much of their prefixes they share, then
 expanded to their member sets, which are verified by counting. As classes are asked for, a pair is left out only if its two
 sets are in one class already:
 
@@ -34,6 +34,8 @@ WORDS = 5
 ORDERED = 0.35
 HOT_LEAST = 32
 HOT_MOST = 1 << 18
+#: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
+BROADCAST_MOST = 1_000_000
 _TOP = np.uint64(32)
 _LIMIT = np.uint64(int(ORDERED * (1 << 32)))
 
@@ -103,8 +105,8 @@ def _prefixes(hot):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (shingle, n, group_id, place) in that order: one per group, where a shingle has more than one; with the group before."""
-    names = ["shingle", "n", "group_id", "place"]
+    """Of rows (shingle, n, group_id) in that order: one per group, where a shingle has more than one; with the group before."""
+    names = ["shingle", "n", "group_id"]
     last: tuple | None = None  # the last row so far, and whether it was told
     told, before = True, None
 
@@ -164,6 +166,8 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Of pairs (a, b) of set ids those that reach the threshold."""
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     wanted = staged(sets.join(wanted, "set_id").select(F.col("doc").alias("__doc")).distinct(), "wanted")
+    if wanted.count() <= BROADCAST_MOST:
+        wanted = F.broadcast(wanted)
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").select("text")
     held = staged(texts.mapInArrow(_tokens, "set_id binary, shingles array<long>"), "shingles")
     one = lambda x: held.select(F.col("set_id").alias(x), F.col("shingles").alias(f"s{x}"))
@@ -183,13 +187,14 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = each.where("n_shingles > 0")
     sets = staged(told.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.min("group_id").alias("group_id"), F.min("n_shingles").cast("int").alias("n")), "sets")
 
-    lists = told.where("prefix is not null").select("group_id", F.col("n_shingles").cast("int").alias("n"), F.posexplode("prefix").alias("place", "shingle"))
-    lists = lists.select("shingle", "n", "group_id", "place").repartition("shingle").sortWithinPartitions("shingle", "n", "group_id")
-    lists = staged(lists.mapInArrow(_shared, "shingle long, n int, group_id long, place int, before_id long, before_n int"), "lists")
+    lists = told.where("prefix is not null").select(F.explode("prefix").alias("shingle"), F.col("n_shingles").cast("int").alias("n"), "group_id")
+    lists = lists.repartition("shingle").sortWithinPartitions("shingle", "n", "group_id")
+    lists = staged(lists.mapInArrow(_shared, "shingle long, n int, group_id long, before_id long, before_n int"), "lists")
 
     # 1. chains: neighbours in a shingle's list by their groups' first sets, and members of a group
     first = sets.groupBy("group_id").agg(F.min("set_id").alias("first"))
-    near = lists.where("before_id is not null and 5 * before_n >= 4 * n").select(F.col("before_id").alias("g"), F.col("group_id").alias("h")).distinct()
+    near = lists.where("before_id is not null and 5 * before_n >= 4 * n").groupBy(F.col("before_id").alias("g"), F.col("group_id").alias("h"), "n").agg(F.count("*").alias("c"))
+    near = near.where("40 * c >= n").select("g", "h")  # neighbours in an eighth of their prefixes: only to find most links soon
     near = near.join(first.toDF("g", "a"), "g").join(first.toDF("h", "b"), "h").select("a", "b")
     inside = sets.withColumn("b", F.lag("set_id").over(Window.partitionBy("group_id").orderBy("set_id"))).where("b is not null")
     near = staged(near.union(inside.select(F.col("set_id").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "chains")
@@ -199,16 +204,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # 2. lists and groups that still span classes
     now = staged(sets.join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "classed")
     groups = now.groupBy("group_id").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    placed = staged(lists.join(groups, "group_id").select("shingle", "n", "group_id", "place", "low", "high"), "placed")
+    placed = staged(lists.join(groups, "group_id").select("shingle", "n", "group_id", "low", "high"), "placed")
     spans = placed.groupBy("shingle").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("shingle")
     often = placed.join(spans, "shingle").groupBy("shingle", "low").count().groupBy("shingle").agg(F.max_by("low", F.struct("count", "low")).alias("main"))
-    placed = staged(placed.join(staged(often, "often"), "shingle"), "spanning")
-    odd = placed.where("low <> main or high <> main").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "group_id", "place", "low", "high")))
-    sum_n = F.col("n") + F.col("n_")
-    reach = 1 + F.least(F.col("n") - F.col("place"), F.col("n_") - F.col("place_")) - 1
-    ok = (F.col("group_id") != F.col("group_id_")) & (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n")) & (9 * reach >= 4 * sum_n)
+    placed = staged(placed.join(staged(often, "often"), "shingle").withColumn("odd", F.expr("low <> main or high <> main")).drop("main"), "spanning")
+    odd = placed.where("odd").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "group_id", "low", "high")))
+    ok = (F.col("group_id") != F.col("group_id_")) & (~F.col("odd") | (F.col("group_id_") < F.col("group_id")))
+    ok &= (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n"))
     ok &= ~((F.col("low") == F.col("high")) & (F.col("low_") == F.col("high_")) & (F.col("low") == F.col("low_")))
-    pairs = odd.join(placed, "shingle").where(ok).select(F.least("group_id", "group_id_").alias("g"), F.greatest("group_id", "group_id_").alias("h")).distinct()
+    pairs = odd.join(placed, "shingle").where(ok).groupBy(F.least("group_id", "group_id_").alias("g"), F.greatest("group_id", "group_id_").alias("h"))
+    # what two sets share: of their prefixes this many, and of the rest of one of them ceil(0.8 n) - 1 at most
+    pairs = pairs.agg(F.count("*").alias("c"), F.max(F.col("n") + F.col("n_")).alias("both"), F.max(F.greatest("n", "n_")).alias("more"))
+    pairs = pairs.where("9 * (c + int((4 * more + 4) / 5) - 1) >= 4 * both").select("g", "h")
     member = now.select("group_id", "set_id", "root", "n")
     cross = pairs.join(member.toDF("g", "a", "ra", "na"), "g").join(member.toDF("h", "b", "rb", "nb"), "h")
     mixed = now.join(groups.where("low <> high").select("group_id"), "group_id").select("group_id", "set_id", "root", "n")
