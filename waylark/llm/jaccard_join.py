@@ -6,12 +6,13 @@ and size form one group, and groups that share a prefix shingle are compared, fi
 expanded to their member sets, which are verified by counting. As classes are asked for, a pair is left out only if its two
 sets are in one class already:
 
-1. each group's members, and in each shingle's list the neighbouring groups, are verified as a chain, and classes formed;
+1. each group's members, and in each shingle's list the neighbouring groups, are verified as a chain, and each group with the
+   group of the list that has most in common with others, as a star; classes are formed of what is linked;
 2. of every shingle whose list still spans classes, the groups outside its commonest class are paired with the whole list.
 
-The order may be any order for the result to be whole; it only keeps lists short. Shingles are counted where their hash lies in the
-lowest ORDERED share of hashes (each set's prefix comes from there unless much of the set is common), over all documents, and at
-most HOT_MOST of the commonest are kept, which bounds what is broadcast.
+The order may be any order for the result to be whole; it only keeps lists short. All shingles of all documents are counted (by the
+top half of their hash), those found HOT_LEAST times come after the others, by the power of two of their count, and at most HOT_MOST
+of the commonest are told apart, which bounds what is broadcast.
 
 Defined results: a null or empty text has an empty set, is linked with nothing and is a class of its own; texts of fewer words than
 a shingle have their whole sequence as one; rows that repeat a doc_id are each linked by their own text; a null doc_id never gives a
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from waylark.llm.common import SPACE, blocks, digests, grams, mix, row_grams, rows_of, signed, small_batches, staged, word_hashes
 
 WORDS = 5
-ORDERED = 0.35
-HOT_LEAST = 32
+HOT_LEAST = 16
 HOT_MOST = 1 << 18
+#: Of each so many shingles of a pair's smaller set, one more match is asked for near the start of their prefixes.
+MATCHES = 32
 #: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_MOST = 1_000_000
 _TOP = np.uint64(32)
-_LIMIT = np.uint64(int(ORDERED * (1 << 32)))
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -61,19 +62,19 @@ def _two(x: np.ndarray) -> tuple[int, int]:
     return int(mix(x ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)) ^ len(x), int(mix(a).sum(dtype=np.uint64))
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document the top halves of the hashes in the ordered range."""
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each document the top halves of its shingles' hashes."""
     for batch in batches:
         for part in blocks(batch, "text"):
-            tops = [t[t < _LIMIT] for t in ((s >> _TOP) for s in shingle_sets(part.column("text")))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *tops]).astype(np.uint32).view(np.int32))], ["top"])
+            tops = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(part.column("text"))]) >> _TOP
+            yield pa.RecordBatch.from_arrays([pa.array(tops.astype(np.uint32).view(np.int32))], ["top"])
 
 
 def _prefixes(hot):
     """Per row: n_shingles, set_id, group_id, and the prefix in order, the last only at the group's first row in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, seen = hot.value, set()
+        (common, power), seen = hot.value, set()
         for batch in batches:
             for part in blocks(batch, "text"):
                 sets = shingle_sets(part.column("text"))
@@ -86,11 +87,12 @@ def _prefixes(hot):
                         continue
                     high[i], low[i] = _two(s)
                     length = len(s) - (4 * len(s) + 4) // 5 + 1
-                    inside = int(np.searchsorted(s, _LIMIT << _TOP))
-                    top = s[:inside] >> _TOP
+                    top = s >> _TOP
                     if len(common):
-                        is_hot = common[np.minimum(np.searchsorted(common, top), len(common) - 1)] == top
-                        s = np.concatenate([s[:inside][~is_hot], s[inside:], s[:inside][is_hot]])
+                        at = np.minimum(np.searchsorted(common, top), len(common) - 1)
+                        rank = np.where(common[at] == top, power[at], np.uint8(0))
+                        if rank.any():
+                            s = s[np.argsort(rank, kind="stable")]
                     prefix = s[:length]
                     a, b = _two(prefix)
                     group[i] = mix(np.array([a ^ (b >> 1) ^ (len(s) << 20)], np.uint64))[0]
@@ -105,8 +107,8 @@ def _prefixes(hot):
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (shingle, n, group_id) in that order: one per group, where a shingle has more than one; with the group before."""
-    names = ["shingle", "n", "group_id"]
+    """Of rows (shingle, n, group_id, place), sorted by the first three: one per group, where a shingle has more than one; with the group before."""
+    names = ["shingle", "n", "group_id", "place"]
     last: tuple | None = None  # the last row so far, and whether it was told
     told, before = True, None
 
@@ -180,21 +182,28 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    hot = docs.select("text").mapInArrow(_common, "top int").groupBy("top").count().where(F.col("count") >= HOT_LEAST)
-    hot = hot.orderBy(F.desc("count"), "top").limit(HOT_MOST).select("top").toArrow()["top"].to_numpy()
-    hot = spark.sparkContext.broadcast(np.sort(hot.view(np.uint32).astype(np.uint64)))
+    hot = docs.select("text").mapInArrow(_tops, "top int").groupBy("top").count().where(F.col("count") >= HOT_LEAST)
+    hot = hot.orderBy(F.desc("count"), "top").limit(HOT_MOST).toArrow()
+    top, count = hot["top"].to_numpy().view(np.uint32).astype(np.uint64), hot["count"].to_numpy()
+    by = np.argsort(top)
+    hot = spark.sparkContext.broadcast((top[by], np.log2(np.maximum(count[by], 1)).astype(np.uint8)))
     each = staged(docs.mapInArrow(_prefixes(hot), "doc_id long, n_shingles long, set_id binary, group_id long, prefix array<long>"), "prefixes")
     told = each.where("n_shingles > 0")
     sets = staged(told.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.min("group_id").alias("group_id"), F.min("n_shingles").cast("int").alias("n")), "sets")
 
-    lists = told.where("prefix is not null").select(F.explode("prefix").alias("shingle"), F.col("n_shingles").cast("int").alias("n"), "group_id")
-    lists = lists.repartition("shingle").sortWithinPartitions("shingle", "n", "group_id")
-    lists = staged(lists.mapInArrow(_shared, "shingle long, n int, group_id long, before_id long, before_n int"), "lists")
+    lists = told.where("prefix is not null").select(F.col("n_shingles").cast("int").alias("n"), "group_id", F.posexplode("prefix").alias("place", "shingle"))
+    lists = lists.select("shingle", "n", "group_id", "place").repartition("shingle").sortWithinPartitions("shingle", "n", "group_id")
+    lists = staged(lists.mapInArrow(_shared, "shingle long, n int, group_id long, place int, before_id long, before_n int"), "lists")
 
-    # 1. chains: neighbours in a shingle's list by their groups' first sets, and members of a group
+    # 1. chains and stars: neighbours in a shingle's list and its heaviest group, by their groups' first sets; members of a group
     first = sets.groupBy("group_id").agg(F.min("set_id").alias("first"))
     near = lists.where("before_id is not null and 5 * before_n >= 4 * n").groupBy(F.col("before_id").alias("g"), F.col("group_id").alias("h"), "n").agg(F.count("*").alias("c"))
     near = near.where("40 * c >= n").select("g", "h")  # neighbours in an eighth of their prefixes: only to find most links soon
+    size = staged(lists.groupBy("shingle").agg(F.count("*").alias("size")), "list-sizes")
+    weight = lists.join(size, "shingle").groupBy("group_id").agg(F.sum("size").alias("weight"))
+    heavy = staged(lists.join(weight, "group_id").groupBy("shingle").agg(F.max_by(F.struct("group_id", "n"), F.struct("weight", "group_id")).alias("h")), "list-heads")
+    to_head = lists.join(heavy, "shingle").where("group_id <> h.group_id and 5 * n >= 4 * h.n and 5 * h.n >= 4 * n").groupBy("group_id", F.col("h.group_id").alias("h"), "n").agg(F.count("*").alias("c"))
+    near = near.union(to_head.where("40 * c >= n").select(F.col("group_id").alias("g"), "h")).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
     near = near.join(first.toDF("g", "a"), "g").join(first.toDF("h", "b"), "h").select("a", "b")
     inside = sets.withColumn("b", F.lag("set_id").over(Window.partitionBy("group_id").orderBy("set_id"))).where("b is not null")
     near = staged(near.union(inside.select(F.col("set_id").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "chains")
@@ -204,18 +213,21 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # 2. lists and groups that still span classes
     now = staged(sets.join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "classed")
     groups = now.groupBy("group_id").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    placed = staged(lists.join(groups, "group_id").select("shingle", "n", "group_id", "low", "high"), "placed")
+    placed = staged(lists.join(groups, "group_id").select("shingle", "n", "group_id", "place", "low", "high"), "placed")
     spans = placed.groupBy("shingle").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("shingle")
     often = placed.join(spans, "shingle").groupBy("shingle", "low").count().groupBy("shingle").agg(F.max_by("low", F.struct("count", "low")).alias("main"))
     placed = staged(placed.join(staged(often, "often"), "shingle").withColumn("odd", F.expr("low <> main or high <> main")).drop("main"), "spanning")
-    odd = placed.where("odd").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "group_id", "low", "high")))
+    odd = placed.where("odd").select("shingle", *(F.col(c).alias(f"{c}_") for c in ("n", "group_id", "place", "low", "high")))
     ok = (F.col("group_id") != F.col("group_id_")) & (~F.col("odd") | (F.col("group_id_") < F.col("group_id")))
     ok &= (5 * F.col("n") >= 4 * F.col("n_")) & (5 * F.col("n_") >= 4 * F.col("n"))
     ok &= ~((F.col("low") == F.col("high")) & (F.col("low_") == F.col("high_")) & (F.col("low") == F.col("low_")))
-    pairs = odd.join(placed, "shingle").where(ok).groupBy(F.least("group_id", "group_id_").alias("g"), F.greatest("group_id", "group_id_").alias("h"))
-    # what two sets share: of their prefixes this many, and of the rest of one of them ceil(0.8 n) - 1 at most
-    pairs = pairs.agg(F.count("*").alias("c"), F.max(F.col("n") + F.col("n_")).alias("both"), F.max(F.greatest("n", "n_")).alias("more"))
-    pairs = pairs.where("9 * (c + int((4 * more + 4) / 5) - 1) >= 4 * both").select("g", "h")
+    # two sets that reach the threshold share `alike` shingles or more, so of each only n - alike have no match, and the first
+    # `many` matches lie among the first n - alike + many of each, if their prefixes are as long
+    alike, spare = "int((4 * (n + n_) + 8) / 9)", "(n{0} - int((4 * n{0} + 4) / 5) + 1)"
+    many = f"least(1 + int(least(n, n_) / {MATCHES}), {spare.format('')} - n + {alike}, {spare.format('_')} - n_ + {alike})"
+    near_start = F.expr(f"place < n - {alike} + {many} and place_ < n_ - {alike} + {many}")
+    pairs = odd.join(placed, "shingle").where(ok & near_start).groupBy(F.least("group_id", "group_id_").alias("g"), F.greatest("group_id", "group_id_").alias("h"))
+    pairs = pairs.agg(F.count("*").alias("c"), F.max(F.expr(many)).alias("many")).where("c >= many").select("g", "h")
     member = now.select("group_id", "set_id", "root", "n")
     cross = pairs.join(member.toDF("g", "a", "ra", "na"), "g").join(member.toDF("h", "b", "rb", "nb"), "h")
     mixed = now.join(groups.where("low <> high").select("group_id"), "group_id").select("group_id", "set_id", "root", "n")
