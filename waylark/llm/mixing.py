@@ -74,7 +74,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: in
     rows = staged(rows.select("doc_id", "source", "size", "source_size", "target", "source_no", "key", "queued"), "mix-queue")
 
     budget = int(sum(Fraction(r["s"]) for r in per) * Fraction(share))
-    finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("queued")) / F.col("target")
+    finish = lambda e: F.try_divide(F.lit(e) * F.col("source_size") + F.col("queued"), "target")
     entries = rows.where("size > 0 and target > 0").select("doc_id", "size", "source_no", "key", F.explode(F.array(*(F.struct(F.lit(e).alias("e"), finish(e).alias("f")) for e in range(repeats)))).alias("x"))
     entries = entries.select("doc_id", "size", "source_no", "key", "x.e", "x.f").where("f <= 2")
     ranges = max(1, sum(r["n"] for r in per) // BUCKET_ROWS)
