@@ -35,7 +35,7 @@ WORDS = 5
 HOT_LEAST = 16
 HOT_MOST = 1 << 18
 #: Of each so many shingles of a pair's smaller set, one more match is asked for near the start of their prefixes.
-MATCHES = 32
+MATCHES = 128
 #: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_MOST = 1_000_000
 _TOP = np.uint64(32)
@@ -63,10 +63,10 @@ def _two(x: np.ndarray) -> tuple[int, int]:
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each document the top halves of its shingles' hashes."""
+    """The top halves of all shingles' hashes, repeats in a document included; texts shorter than a shingle have none."""
     for batch in batches:
         for part in blocks(batch, "text"):
-            tops = np.concatenate([np.zeros(0, np.uint64), *shingle_sets(part.column("text"))]) >> _TOP
+            tops = row_grams(*word_hashes(part.column("text"), SPACE), WORDS)[0] >> _TOP
             yield pa.RecordBatch.from_arrays([pa.array(tops.astype(np.uint32).view(np.int32))], ["top"])
 
 
