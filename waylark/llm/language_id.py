@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waylark.llm.common import blocks, mix, small_batches
+from waylark.llm.common import BLOCK, blocks, mix, small_batches
 
 BITS = 16
 #: First and last code point of scripts; 0 is any other, 1 Latin.
@@ -85,7 +85,7 @@ def _counts(languages: list[str]):
         size = 2 * (1 << BITS) + len(SCRIPT_NAMES)
         total = np.zeros((len(languages), size), np.int64)
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", BLOCK):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
                 tri, four, first, text, script = features(part.column("text").to_pylist())
                 letters = np.diff(np.append(first, len(tri)))
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: Model, penalty: float = 12.0) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", BLOCK):
                 found = predict(part.column("text").to_pylist(), shared.value, penalty)
                 told = [[{"first": a, "after": b, "lang": x} for a, b, x in f[2]] for f in found]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(told, spans)], ["doc_id", "lang_pred", "score", "spans"])
@@ -199,7 +199,7 @@ def keep_identified(docs: DataFrame, model: Model, penalty: float = 12.0, least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "text"):
+            for part in blocks(batch, "text", BLOCK):
                 found = predict(part.column("text").to_pylist(), shared.value, penalty)
                 yield part.filter(pa.array([f[0] != "und" and f[1] >= least for f in found], pa.bool_()))
 
