@@ -2,6 +2,10 @@
 
 import random
 import re
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, item_id string"
 

@@ -179,3 +179,12 @@ def test_empty_tables(spark):
     assert url_filter.judge(no_pages, spark.createDataFrame([], "page_id long, bad boolean")).count() == 0
     assert warc.read(warc.write(no_pages)).count() == 0
     assert chat_format.formatted(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op2_jaccard_join", "op5_decontaminate", "op6_chat_format", "op8_warc", "op10_mixing"])
+def test_query_equals_its_sql(spark, sf, name):
+    from oracle import connect, differs
+
+    from waylark.llm.queries import ORACLE_SQL, QUERIES
+
+    assert differs(spark, connect(sf), sf, name, QUERIES[name], ORACLE_SQL[name]) is None

@@ -11,6 +11,7 @@ from waylark.llm.jaccard_join import op2_jaccard_join
 from waylark.llm.language_id import op3_language_id
 from waylark.llm.license_scan import op4_license_scan
 from waylark.llm.mixing import op10_mixing
+from waylark.llm.oracle import ORACLE_SQL
 from waylark.llm.token_count import op9_token_count
 from waylark.llm.url_filter import op1_url_filter
 from waylark.llm.warc import op8_warc
@@ -28,4 +29,4 @@ QUERIES: dict[str, Callable] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
