@@ -138,6 +138,13 @@ def test_journeys_hold_together(spark, sf):
     assert all(at[r["trip_idx"], r["to_place"]] == (r["to_stop"], r["arr_s"]) for r in legs if r["kind"] == "transit")
 
 
+@pytest.mark.parametrize("mode, time", [("departure", 28800), ("arrival", 61200)])
+def test_pruning_leaves_the_answers(spark, sf, mode, time):
+    n = catalog.network(spark, sf)
+    a, b = (planner.plan(n, catalog.questions(n, mode, 10, time), prune=p).best.orderBy("query_id").collect() for p in (True, False))
+    assert a == b and len(a) == 10
+
+
 def test_stream_of_questions(spark, net, tmp_path):
     row = [(1, "stop", "A", "stop", "E", "departure", H("07:55:00"))]
     q = spark.createDataFrame(row, "query_id long, from_kind string, from_id string, to_kind string, to_id string, mode string, time_s long")

@@ -186,7 +186,7 @@ def seeds(net: Network, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def plan(net: Network, queries: DataFrame, allow_walk: bool = True, max_rounds: int = MAX_ROUNDS, prune: bool = True) -> Plan:
-    """Answers all questions at once. prune: labels no better than the target's are dropped (departure questions only)."""
+    """Answers all questions at once. prune: labels no better than the target's are dropped, which leaves the answers as they are."""
     spark = queries.sparkSession
     timetable = staged(directed(net), "timetable")
     places = net.pattern_stops
@@ -196,7 +196,7 @@ def plan(net: Network, queries: DataFrame, allow_walk: bool = True, max_rounds:
     frontier, targets = staged(frontier, "frontier"), staged(targets, "targets")
     best = spark.createDataFrame([], "query_id long, stop_idx long, t long")
     target = spark.createDataFrame([], "query_id long, t long")
-    modes, rounds = queries.select("query_id", "mode"), []
+    rounds = []
     for number in range(max_rounds):
         by_trip = staged(first_of(better(relax_transit(frontier, places, timetable), best, target)), "by-trip")
         best = merge(best, by_trip)
@@ -208,5 +208,5 @@ def plan(net: Network, queries: DataFrame, allow_walk: bool = True, max_rounds:
         if by_trip.isEmpty():
             break
         if prune:
-            target = staged(best.join(targets, ["query_id", "stop_idx"]).join(modes.where("mode = 'departure'"), "query_id").groupBy("query_id").agg(F.min("t").alias("t")), "target")
+            target = staged(best.join(targets, ["query_id", "stop_idx"]).groupBy("query_id").agg(F.min("t").alias("t")), "target")
     return Plan(queries, staged(reduce(DataFrame.union, rounds), "labels"), targets, max_rounds)
