@@ -29,7 +29,7 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = _raw(batch.column("text"))
         raw = data.tobytes()
         size = [len(raw[a:b].split()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), pa.array(size, pa.int64())], ["doc_id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("source"), batch.column("text_hash"), pa.array(size, pa.int64())], ["doc_id", "source", "text_hash", "size"])
 
 
 def targets(sizes: dict, weights: Sequence[int], repeats: int, share: float = 1.0) -> dict:
@@ -48,11 +48,11 @@ def targets(sizes: dict, weights: Sequence[int], repeats: int, share: float = 1.
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, seed: str = "mix", share: float = 1.0, max_sources: int = 100_000) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every document. Only a row per source, of which more than max_sources are an error, comes to the driver."""
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, seed: str = "mix", share: float = 1.0, max_sources: int = 100_000, with_hash: bool = False) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every document; with_hash: and text_hash, xxhash64 of its text. Only a row per source, of which more than max_sources are an error, comes to the driver."""
     spark = docs.sparkSession
     small_batches(spark)
-    sized = docs.select("doc_id", "source", "text").mapInArrow(_sizes, "doc_id long, source string, size long")
+    sized = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(_sizes, "doc_id long, source string, text_hash long, size long")
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     base = staged(sized.withColumn("key", key), "mix-sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(max_sources + 1).collect()
@@ -68,10 +68,10 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: in
     # what its source has queued up to each document: within the bucket, then the buckets before it
     sums = rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("b"))
     before = sums.select("source_no", "bucket", (F.sum("b").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("b")).alias("before"))
-    within = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("run", F.sum("size").over(within)).join(before, ["source_no", "bucket"])
     rows = rows.withColumn("queued", F.col("before") + F.col("run"))
-    rows = staged(rows.select("doc_id", "source", "size", "source_size", "target", "source_no", "key", "queued"), "mix-queue")
+    rows = staged(rows.select("doc_id", "source", "text_hash", "size", "source_size", "target", "source_no", "key", "queued"), "mix-queue")
 
     budget = int(sum(Fraction(r["s"]) for r in per) * Fraction(share))
     finish = lambda e: F.try_divide(F.lit(e) * F.col("source_size") + F.col("queued"), "target")
@@ -100,7 +100,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: in
 
         taken = sum((F.when(ahead(e), F.col("size")).otherwise(0) for e in range(repeats)), F.lit(0))
     taken = F.when((F.col("size") > 0) & (F.col("target") > 0), taken).otherwise(0).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return rows.select("doc_id", "source", *["text_hash"] * with_hash, "size", "source_size", "target", taken.alias("taken"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
