@@ -34,12 +34,12 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources to their target weights; a document that the mix doesn't reach goes."""
-    found = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "size", "source_size", "target", "taken")
-    docs = docs.drop("size", "source_size", "target", "taken")
-    # ids are unique after the stage on duplicates, but for null ones, which are told apart by source and size
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    known = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("__id"))
-    lost = docs.where("doc_id is null").join(found.where("__id is null").distinct(), F.col("source").eqNullSafe(F.col("__source")) & (words == F.col("size")))
+    found = mix_sources(docs, with_hash=True).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "text_hash", "size", "source_size", "target", "taken")
+    docs = docs.drop("size", "source_size", "target", "taken", "text_hash")
+    # ids are unique after the stage on duplicates, but for null ones, of which that stage keeps one of each text
+    known = docs.where("doc_id is not null").join(found.drop("text_hash"), F.col("doc_id") == F.col("__id"))
+    told = found.where("__id is null").groupBy("__id", "__source", "text_hash", "size", "source_size", "target").agg(F.max("taken").alias("taken"))
+    lost = docs.where("doc_id is null").join(told, F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("text_hash"))).drop("text_hash")
     return known.union(lost).drop("__id", "__source")
 
 
