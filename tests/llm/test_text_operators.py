@@ -43,9 +43,10 @@ def docs(spark, sf):
     return awkward(spark, sf).cache()
 
 
-@pytest.mark.parametrize("hot", [2, 32])
-def test_jaccard_join_equals_brute_force(docs, monkeypatch, hot):
+@pytest.mark.parametrize("hot, chain", [(2, 1), (32, 256)])
+def test_jaccard_join_equals_brute_force(docs, monkeypatch, hot, chain):
     monkeypatch.setattr(jaccard_join, "HOT_LEAST", hot)
+    monkeypatch.setattr(jaccard_join, "CHAIN_ROWS", chain)
     assert rows(jaccard_join.near_duplicates(docs)) == brute_classes(docs.collect())
 
 
@@ -57,6 +58,25 @@ def test_keep_one_keeps_one_row_of_each_class(docs):
     assert sorted(x for x in got if x is not None) == sorted({i for i, c in want if i is not None and i == c})
 
 
+def test_groups_that_span_classes(spark, monkeypatch):
+    """Sets of one size and prefix that fall into three classes: what they share is rarer than the rest, as other documents repeat that."""
+    monkeypatch.setattr(jaccard_join, "CHAIN_ROWS", 2)
+    start = [f"s{i}" for i in range(60)]
+    rest = [[*(f"{kind}{i}" for i in range(130)), *(f"{kind}{one}t{i}" for i in range(6))] for kind in "abc" for one in range(6)]
+    given = [(i, " ".join(start + r)) for i, r in enumerate(rest)] + [(100 + i, " ".join((start[-4:] + r) * 40)) for i, r in enumerate(rest)]
+    table = spark.createDataFrame(given, "doc_id long, text string")
+    found = rows(jaccard_join.near_duplicates(table))
+    assert found == brute_classes(table.collect())
+    assert {c for i, _, c in found if i < 100} == {0, 6, 12}
+
+
+def test_rows_without_an_id_stay_once_in_a_class_of_their_own(spark):
+    own, other = "only here and nowhere else at all", "a text that a row with an id has too"
+    given = [(3, other), (None, other), (None, own), (None, own), (4, None), (None, None), (None, "")]
+    kept = rows(jaccard_join.keep_one(spark.createDataFrame(given, "doc_id long, text string")))
+    assert kept == sorted([(3, other), (None, own), (4, None), (None, None), (None, "")], key=repr)
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     found = dict(rows(jaccard_join.components(spark.createDataFrame(links, "a long, b long"))))
@@ -193,3 +213,13 @@ def test_empty_tables(spark, sf):
     assert decontaminate.scan(none, items).count() == 0
     assert decontaminate.scan(awkward(spark, sf).limit(5), items.where("false")).where("contaminated").count() == 0
     assert language_id.identify(none, language_id.train_on(none)).count() == 0
+
+
+def test_the_mix_tells_rows_without_an_id_apart(spark):
+    import corpus_pipeline
+
+    given = [(None, f"w{i} x y", "en", "a", 1, None) for i in range(30)] + [(1, "only one", "en", "b", 1, None)]
+    docs = spark.createDataFrame(given, DOCS)
+    found = rows(corpus_pipeline.mixture(spark, docs, "").select("text", "taken"))
+    assert len({t for t, _ in found}) == len(found)
+    assert Counter(n for _, n in found) == Counter(r["taken"] for r in mixing.mix_sources(docs).where("taken > 0").collect())

@@ -6,9 +6,11 @@ and size form one group, and groups that share a prefix shingle are compared, fi
 expanded to their member sets, which are verified by counting. As classes are asked for, a pair is left out only if its two
 sets are in one class already:
 
-1. each group's members, and in each shingle's list the neighbouring groups, are verified as a chain, and each group with the
-   group of the list that has most in common with others, as a star; classes are formed of what is linked;
-2. of every shingle whose list still spans classes, the groups outside its commonest class are paired with the whole list.
+1. each group's members, and in each shingle's list the neighbouring groups, are verified as a chain (a large group's as chains of
+   about CHAIN_ROWS), and each group with the group of the list that has most in common with others, as a star; classes are formed
+   of what is linked;
+2. of every shingle whose list still spans classes, the groups outside its commonest class are paired with the whole list; and so
+   are, of a group that spans classes, its members outside its commonest class with its other classes.
 
 The order may be any order for the result to be whole; it only keeps lists short. All shingles of all documents are counted (by the
 top half of their hash), those found HOT_LEAST times come after the others, by the power of two of their count, and at most HOT_MOST
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from waylark.llm.common import SPACE, blocks, digests, grams, mix, row_grams, rows_of, signed, small_batches, staged, word_hashes
 
@@ -36,6 +39,8 @@ HOT_LEAST = 16
 HOT_MOST = 1 << 18
 #: Of each so many shingles of a pair's smaller set, one more match is asked for near the start of their prefixes.
 MATCHES = 128
+#: Sets of a group that are verified as one chain, about.
+CHAIN_ROWS = 256
 #: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_MOST = 1_000_000
 _TOP = np.uint64(32)
@@ -178,7 +183,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_shingles, set_id of every document; set_id, component_id of every set that isn't empty)."""
+    """(doc_id, n_shingles, set_id of every document; set_id, root, component_id of every set that isn't empty)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
@@ -196,7 +201,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lists = staged(lists.mapInArrow(_shared, "shingle long, n int, group_id long, place int, before_id long, before_n int"), "lists")
 
     # 1. chains and stars: neighbours in a shingle's list and its heaviest group, by their groups' first sets; members of a group
-    first = sets.groupBy("group_id").agg(F.min("set_id").alias("first"))
+    first = staged(sets.groupBy("group_id").agg(F.min("set_id").alias("first"), F.count("*").alias("sets")), "group-heads")
     near = lists.where("before_id is not null and 5 * before_n >= 4 * n").groupBy(F.col("before_id").alias("g"), F.col("group_id").alias("h"), "n").agg(F.count("*").alias("c"))
     near = near.where("40 * c >= n").select("g", "h")  # neighbours in an eighth of their prefixes: only to find most links soon
     size = staged(lists.groupBy("shingle").agg(F.count("*").alias("size")), "list-sizes")
@@ -204,8 +209,11 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     heavy = staged(lists.join(weight, "group_id").groupBy("shingle").agg(F.max_by(F.struct("group_id", "n"), F.struct("weight", "group_id")).alias("h")), "list-heads")
     to_head = lists.join(heavy, "shingle").where("group_id <> h.group_id and 5 * n >= 4 * h.n and 5 * h.n >= 4 * n").groupBy("group_id", F.col("h.group_id").alias("h"), "n").agg(F.count("*").alias("c"))
     near = near.union(to_head.where("40 * c >= n").select(F.col("group_id").alias("g"), "h")).select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h")).distinct()
-    near = near.join(first.toDF("g", "a"), "g").join(first.toDF("h", "b"), "h").select("a", "b")
-    inside = sets.withColumn("b", F.lag("set_id").over(Window.partitionBy("group_id").orderBy("set_id"))).where("b is not null")
+    head = first.select("group_id", "first")
+    near = near.join(head.toDF("g", "a"), "g").join(head.toDF("h", "b"), "h").select("a", "b")
+    # a large group has many chains, each from the group's first set
+    inside = sets.select("set_id", "group_id").join(first.where("sets > 1"), "group_id").withColumn("chain", F.pmod(F.xxhash64("set_id"), F.expr(f"1 + sets div {CHAIN_ROWS}")))
+    inside = inside.withColumn("b", F.coalesce(F.lag("set_id").over(Window.partitionBy("group_id", "chain").orderBy("set_id")), "first"))
     near = staged(near.union(inside.select(F.col("set_id").alias("a"), "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "chains")
     links = verified(near, sets, docs)
     root = staged(components(links), "roots")
@@ -231,7 +239,9 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     member = now.select("group_id", "set_id", "root", "n")
     cross = pairs.join(member.toDF("g", "a", "ra", "na"), "g").join(member.toDF("h", "b", "rb", "nb"), "h")
     mixed = now.join(groups.where("low <> high").select("group_id"), "group_id").select("group_id", "set_id", "root", "n")
-    same = mixed.toDF("g", "a", "ra", "na").join(mixed.toDF("g", "b", "rb", "nb"), "g").where("a < b")
+    most = mixed.groupBy("group_id", "root").count().groupBy("group_id").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
+    apart = mixed.join(staged(most, "main-classes"), "group_id").where("root <> main").toDF("g", "a", "ra", "na", "main")
+    same = apart.join(mixed.toDF("g", "b", "rb", "nb"), "g").where("rb = main or a < b")
     more = [x.where("ra <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")) for x in (cross, same)]
     more = staged(reduce(DataFrame.union, more).distinct().join(near, ["a", "b"], "left_anti"), "crossing")
     if not more.isEmpty():
@@ -240,7 +250,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             root = staged(components(found.union(root.select(F.col("node").alias("a"), F.col("root").alias("b")))), "roots")
             now = staged(sets.join(root.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id")), "classed")
     least = now.groupBy("root").agg(F.min("doc").alias("component_id"))
-    return each.select("doc_id", "n_shingles", "set_id"), staged(now.join(least, "root").select("set_id", "component_id"), "classes")
+    return each.select("doc_id", "n_shingles", "set_id"), staged(now.join(least, "root").select("set_id", "root", "component_id"), "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -250,21 +260,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return each.where("n_shingles > 0").join(of, "set_id").select("doc_id", "n_shingles", "component_id").union(empty)
 
 
+def _one_of(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """One row of each key; of rows that differ, that with the least hash."""
+    by = F.xxhash64(*(F.col(c).cast("string") for c in columns))
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), by).alias("__row")).select("__row.*")
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, with the id of each one's set, null if it is empty."""
+    for batch in batches:
+        for part in blocks(batch, "text"):
+            two = [_two(x) if len(x) else None for x in shingle_sets(part.column("text"))]
+            yield part.append_column("__set", pa.array([None if x is None else np.array(x, ">u8").tobytes() for x in two], pa.binary()))
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each class, that with its smallest doc_id, with all its columns; of rows that repeat that id, one.
 
-    A null doc_id stays only in classes that have no other. Rows with empty sets are classes of their own, and stay.
+    A null doc_id stays only in classes that have no other, and there once. Rows with empty sets are classes of their own, and stay.
     """
-    found = near_duplicates(docs)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n"), F.max("n_shingles").alias("__most"))
-    kept = staged(kept, "kept")
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep"))).drop("__keep")
-    if kept.where("__n > 1 and __keep is not null").isEmpty():
-        return rows.drop("__n", "__most")
-    again = F.col("__n") > 1
-    once = Window.partitionBy("doc_id").orderBy(*(F.col(c).cast("string") for c in docs.columns))
-    twice = rows.where(again & F.col("doc_id").isNotNull()).withColumn("__i", F.row_number().over(once)).where("__i = 1").drop("__i")
-    return rows.where(~again | F.col("doc_id").isNull()).union(twice).drop("__n", "__most")
+    each, of = classes(docs)
+    told = each.join(of, "set_id", "left").where("n_shingles = 0 or doc_id <=> component_id")
+    kept = staged(told.where("doc_id is not null").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n")), "kept")
+    rows = docs.join(kept, F.col("doc_id") == F.col("__keep")).drop("__keep")
+    out = rows.where("__n = 1").drop("__n")
+    if not kept.where("__n > 1").isEmpty():
+        out = out.union(_one_of(rows.where("__n > 1").drop("__n"), "doc_id", docs.columns))
+    lost = told.where("doc_id is null")
+    if not lost.isEmpty():
+        alone = staged(lost.where("n_shingles > 0").groupBy("root").agg(F.min("set_id").alias("__alone")).select("__alone"), "kept-lost")
+        found = docs.where("doc_id is null").mapInArrow(_with_sets, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
+        once = found.join(alone, F.col("__set") == F.col("__alone"), "left_semi")
+        out = out.union(found.where("__set is null").drop("__set")).union(_one_of(once, "__set", docs.columns))
+    return out
 
 
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
