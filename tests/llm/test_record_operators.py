@@ -108,6 +108,9 @@ def test_nearest_equal_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(ann, "SPLIT_ROWS", 60)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 32)
     monkeypatch.setattr(ann, "QUERY_ROWS", 4)
+    monkeypatch.setattr(ann, "GROUP_BYTES", 4 * 64 * 8)
+    monkeypatch.setattr(ann, "CELL_ROWS", 100)
+    monkeypatch.setattr(ann, "HELD", 50)
     given = [(r["vec_id"], r["embedding"], "x") for r in spark.read.parquet(f"{sf}/embeddings.parquet").limit(300).collect()]
     odd = [(10_000, None, "x"), (10_020, [0.0] * 64, "x"), (10_040, [float("nan")] + [1.0] * 63, "x"), (10_060, [None] + [1.0] * 63, "x"), (10_080, [1.0] * 3, "x"), (10_100, [float("inf")] * 64, "x"), (None, [1.0] * 64, "x")]
     odd += [(10_200 + i, given[0][1], "x") for i in range(60)] + [given[7], given[20]]

@@ -8,6 +8,10 @@ A window of neighbours along a curve holds few of the nearest vectors where vect
 is then used on blocks, which are runs of the first curve: queries, in blocks, meet every block whose centre and radius leave room for
 a score above the bound. The result is exact.
 
+The scan is a grid of groups of query blocks by splits of vector blocks. A cell holds its queries, GROUP_BYTES of them, and streams its
+split's vectors past them, so the table is sent once per group and the queries once per split. Of vectors that are the same, a block
+keeps the k + 1 with the smallest ids: no query has room for more.
+
 Defined results: vectors that are null, zero, or hold a null or a component that isn't finite take no part, nor do those whose length
 is not the commonest; rows with a query's id are not its candidates; repeated rows count once; of ties the smaller vec_id comes first;
 with fewer candidates than k all are returned; no table, no rows. Columns other than vec_id and the vector are not read.
@@ -22,10 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waylark.llm.common import staged
+from waylark.llm.common import small_batches, staged
 
 CURVES, DIMENSIONS, DEPTH, WINDOW = 4, 6, 8, 48
 BLOCK_ROWS, QUERY_ROWS, SPLIT_ROWS = 2048, 512, 25_000
+#: Of a cell of the scan: bytes of queries that it holds, vectors that it streams.
+GROUP_BYTES, CELL_ROWS = 16 << 20, 400_000
+#: Hits that are held before each query's k best are kept, pairs that are reckoned exactly at once.
+HELD, EXACT_ROWS = 1 << 19, 1 << 16
 HIT = "query_id long, vec_id long, score double"
 
 
@@ -138,49 +146,100 @@ def _windows(d: int, k: int, every: int):
     return run
 
 
-def _packed(d: int, rows: int):
-    """Blocks of rows in their order: ids, vectors, bounds, and the centre and radius."""
+def _fewer(ids: np.ndarray, v: np.ndarray, k: int) -> np.ndarray:
+    """Rows to keep: of those with the same vector, the k + 1 with the smallest ids."""
+    same = np.unique(v, axis=0, return_inverse=True)[1].reshape(-1)
+    by = np.lexsort((ids, same))
+    same, of = same[by], ids[by]
+    new = np.append(True, (np.diff(same) != 0) | (np.diff(of) != 0))
+    by, same = by[new], same[new]
+    return np.sort(by[np.arange(len(by)) - np.searchsorted(same, same) <= k])
+
+
+def _packed(d: int, rows: int, k: int | None):
+    """Blocks of rows in their order: ids, vectors, bounds, and the centre and radius. With k: without vectors that no query has room for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, rows):
                 part = batch.slice(a, rows)
-                v = _matrix(part.column("v"), d)
+                ids, v = part.column("vec_id").to_numpy(), _matrix(part.column("v"), d)
+                bound = part.column("bound").to_numpy() if "bound" in part.schema.names else np.zeros(0)
+                if k is not None:
+                    kept = _fewer(ids, v, k)
+                    ids, v = ids[kept], v[kept]
                 centre = v.mean(axis=0)
                 radius = float(np.linalg.norm(v - centre, axis=1).max())
-                bound = part.column("bound").to_numpy() if "bound" in part.schema.names else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (part.column("vec_id").to_numpy(), v, bound, centre)] + [pa.array([radius])], ["ids", "v", "bound", "centre", "radius"])
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, v, bound, centre)] + [pa.array([radius])], ["ids", "v", "bound", "centre", "radius"])
 
     return run
 
 
-def _scan(d: int, k: int):
-    """Rows of (query block, block of vectors), by query block: the k best of each query above its bound, a row set per run of one query block."""
+class _Cell:
+    """The queries of a cell, and the k best of each above its bound so far."""
+
+    def __init__(self, d: int, k: int, most: int):
+        self.d, self.k, self.most, self.given, self.n, self.any = d, k, most, [], 0, False
+        self.best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        self.held: list[tuple] = []
+
+    def queries(self, ids: bytes, v: bytes, bound: bytes) -> None:
+        self.any = True
+        self.given.append((np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(-1, self.d), np.frombuffer(bound)))
+
+    def vectors(self, ids: np.ndarray, v: np.ndarray, centre: np.ndarray, radius: float) -> None:
+        if self.given:
+            self.ids, self.q, self.bound = (np.concatenate(x) for x in zip(*self.given, strict=True))
+            self.given, self.length = [], np.linalg.norm(self.q, axis=1)
+            self.order = np.argsort(self.ids)
+        near = np.flatnonzero(self.q @ centre + self.length * radius + 1e-9 * self.length >= self.bound)
+        for at in range(0, len(near), QUERY_ROWS):
+            own = near[at : at + QUERY_ROWS]
+            room = 1e-9 * self.length[own]
+            s = self.q[own] @ v.T
+            s[self.ids[own][:, None] == ids[None, :]] = -np.inf
+            if s.shape[1] > self.k:
+                self.bound[own] = np.maximum(self.bound[own], np.partition(s, s.shape[1] - self.k, axis=1)[:, -self.k] - room)
+            a, b = np.nonzero((s >= (self.bound[own] - room)[:, None]) & (s > -np.inf))
+            for x in range(0, len(a), EXACT_ROWS):
+                qa, vb = own[a[x : x + EXACT_ROWS]], b[x : x + EXACT_ROWS]
+                self.held.append((self.ids[qa], ids[vb], exact(self.q[qa], v[vb])))
+            self.n += len(a)
+            if self.n >= self.most:
+                self.keep()
+
+    def keep(self) -> None:
+        """Keeps each query's k best; the last of k is its new bound."""
+        self.best = _top(*(np.concatenate(x) for x in zip(self.best, *self.held, strict=True)), self.k)
+        self.held, self.n = [], 0
+        query, _, score = self.best
+        last = np.flatnonzero(np.arange(len(query)) - np.searchsorted(query, query) == self.k - 1)
+        at = self.order[np.searchsorted(self.ids, query[last], sorter=self.order)]
+        self.bound[at] = np.maximum(self.bound[at], score[last] - 1e-9 * self.length[at])
+
+    def told(self) -> pa.RecordBatch:
+        if self.held:
+            self.keep()
+        return _hits(*self.best)
+
+
+def _scan(d: int, k: int, most: int):
+    """Rows by cell, a cell's query blocks first, then its blocks of vectors: the k best of each query above its bound."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, best, q_ids, q, bound = None, None, None, None, None
+        number, cell = None, None
         for batch in batches:
             for r in batch.to_pylist():
-                if r["q_no"] != number:
-                    if best is not None:
-                        yield _hits(*best)
-                    number, best = r["q_no"], (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-                    q_ids, q, bound = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["q_v"]).reshape(-1, d), np.frombuffer(r["q_bound"]).copy()
-                    length = np.linalg.norm(q, axis=1)
-                near = np.flatnonzero(q @ np.frombuffer(r["centre"]) + length * r["radius"] + 1e-9 * length >= bound)
-                if not len(near):
-                    continue
-                ids, v = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["v"]).reshape(-1, d)
-                s = q[near] @ v.T
-                s[q_ids[near][:, None] == ids[None, :]] = -np.inf
-                if s.shape[1] > k:
-                    bound_k = np.partition(s, s.shape[1] - k, axis=1)[:, -k]
-                    bound[near] = np.maximum(bound[near], bound_k - 1e-9 * length[near])
-                a, b = np.nonzero((s >= bound[near][:, None] - 1e-9 * length[near][:, None]) & (s > -np.inf))
-                more = (q_ids[near[a]], ids[b], exact(q[near[a]], v[b]))
-                best = _top(*(np.append(x, y) for x, y in zip(best, more, strict=True)), k)
-        if best is not None:
-            yield _hits(*best)
+                if (r["group"], r["split"]) != number:
+                    if cell is not None:
+                        yield cell.told()
+                    number, cell = (r["group"], r["split"]), _Cell(d, k, most)
+                if not r["stored"]:
+                    cell.queries(r["ids"], r["v"], r["bound"])
+                elif cell.any:
+                    cell.vectors(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["v"]).reshape(-1, d), np.frombuffer(r["centre"]), r["radius"])
+        if cell is not None:
+            yield cell.told()
 
     return run
 
@@ -191,6 +250,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, whole: bool = True
     whole=False leaves out the scan: what the curves' windows alone find.
     """
     spark = vectors.sparkSession
+    small_batches(spark, BLOCK_ROWS)
     v = F.transform("embedding", lambda x: x.cast("double"))
     rows = vectors.where("vec_id is not null and embedding is not null").select("vec_id", v.alias("v"))
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
@@ -209,16 +269,21 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, whole: bool = True
         bounds = ranked.where(F.col("i") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
         one = keyed.where("curve = 0").select("key", "vec_id", "v")
         queries = one.where(F.col("vec_id") % every == 0).distinct().join(bounds, "vec_id", "left").select("key", "vec_id", "v", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
-        n_q = max(1, n // every // QUERY_ROWS)
+        groups = max(1, -(-n // every * d * 8 // GROUP_BYTES))
+        splits = max(1, -(-n // CELL_ROWS), min(parts, -(-2 * spark.sparkContext.defaultParallelism // groups)))
         packed = "ids binary, v binary, bound binary, centre binary, radius double"
-        q = queries.repartitionByRange(n_q, "key", "vec_id").sortWithinPartitions("key", "vec_id").mapInArrow(_packed(d, QUERY_ROWS), packed)
-        q = staged(q.select(F.monotonically_increasing_id().alias("q_no"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("bound").alias("q_bound")), "query-blocks")
-        b = one.repartitionByRange(parts, "key", "vec_id").sortWithinPartitions("key", "vec_id").mapInArrow(_packed(d, BLOCK_ROWS), packed)
-        b = staged(b.select("ids", "v", "centre", "radius", F.pmod(F.xxhash64("ids"), F.lit(parts)).alias("split")), "vector-blocks")
-        numbers = q.groupBy().agg(F.collect_list("q_no").alias("q_nos"))  # a number per QUERY_ROWS queries
-        pairs = b.join(F.broadcast(numbers)).withColumn("q_no", F.explode("q_nos")).drop("q_nos").join(q, "q_no")
-        pairs = pairs.repartition(n_q * parts, "q_no", "split").sortWithinPartitions("q_no", "split")
-        hits = hits.union(pairs.mapInArrow(_scan(d, k), HIT))
+        q = queries.repartitionByRange(groups, "key", "vec_id").sortWithinPartitions("key", "vec_id").mapInArrow(_packed(d, QUERY_ROWS, None), packed)
+        q = staged(q.select("*", F.spark_partition_id().alias("part")), "query-blocks")
+        ranges = (q.agg(F.max("part")).first()[0] or 0) + 1  # as many as groups, unless Spark has dealt them into more or fewer
+        b = one.repartitionByRange(parts, "key", "vec_id").sortWithinPartitions("key", "vec_id").mapInArrow(_packed(d, BLOCK_ROWS, k), packed)
+        b = staged(b.withColumn("split", F.pmod(F.xxhash64("ids"), F.lit(splits)).cast("int")), "vector-blocks")
+        each = lambda most: F.explode(F.sequence(F.lit(0), F.lit(most - 1)))
+        q = q.select(*(x.split()[0] for x in packed.split(", ")), F.floor(F.col("part") * groups / ranges).cast("int").alias("group"), each(splits).alias("split"), F.lit(False).alias("stored"))
+        b = b.select(*(x.split()[0] for x in packed.split(", ")), each(groups).alias("group"), "split", F.lit(True).alias("stored"))
+        cells = q.union(b).repartition(groups * splits, "group", "split").sortWithinPartitions("group", "split", "stored")
+        small_batches(spark, 8)  # rows are blocks
+        hits = hits.union(staged(cells.mapInArrow(_scan(d, k, HELD), HIT), "scanned"))
+        small_batches(spark, BLOCK_ROWS)
     found = hits.distinct().withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", "vec_id", "score")
 
