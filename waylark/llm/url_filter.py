@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.llm.common import staged
@@ -65,14 +65,18 @@ def templates(leaves: DataFrame, most_children: int, share: float, z: float, wei
         key = [*key, f"t{i}"]
     tree = staged(tree, "tree")
     names = [*(f"t{i}" for i in range(LEVELS)), f"s{LEVELS}"]
-    of = tree.groupBy("host", *names).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
-    for i in reversed(range(LEVELS)):  # similar branches merge, from the bottom up; a parent has most_children at most, or a wildcard
-        up = ["host", *names[:i]]
-        own, all_ = Window.partitionBy(*up, names[i]), Window.partitionBy(*up)
-        l, l_all = F.sum("labelled").over(own), F.sum("labelled").over(all_)
-        p, p_all = F.try_divide(F.sum("bad").over(own), l), F.try_divide(F.sum("bad").over(all_), l_all)
-        off = F.try_divide(F.abs(p - p_all), F.sqrt(F.try_divide(p_all * (1 - p_all), l)))
-        of = of.withColumn(f"m{i}", F.when(F.col(names[i]).isNull() | (off >= z), F.col(names[i])).otherwise("~"))
+    of = staged(tree.groupBy("host", *names).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "grown")
+    for i in range(LEVELS):  # branches that are like their parent merge; sums go by hash, as a parent may have many branches
+        up, down = ["host", *names[:i]], ["host", *names[: i + 1]]
+        branch = of.groupBy(*down).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        parent = branch.groupBy(*(F.col(c).alias(f"{c}_p") for c in up)).agg(F.sum("l").alias("l_all"), F.sum("b").alias("b_all"))
+        both = branch.join(parent, [F.col(c).eqNullSafe(F.col(f"{c}_p")) for c in up])
+        p, p_all = F.try_divide("b", "l"), F.try_divide("b_all", "l_all")
+        off = F.try_divide(F.abs(p - p_all), F.sqrt(F.try_divide(p_all * (1 - p_all), F.col("l"))))
+        own = F.when(F.col(names[i]).isNull() | (off >= z), F.col(names[i])).otherwise("~")
+        own = both.select(*(F.col(c).alias(f"{c}_d") for c in down), own.alias(f"m{i}"))
+        of = of.join(own, [F.col(c).eqNullSafe(F.col(f"{c}_d")) for c in down]).drop(*(f"{c}_d" for c in down))
+    of = staged(of, "branches")
     merged = [f"m{i}" for i in range(LEVELS)]
     total = of.groupBy("host", *merged, names[-1]).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     hosts = of.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
