@@ -83,6 +83,14 @@ def test_components_of_a_path_and_a_star(spark):
     assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 130)}
 
 
+def test_components_of_a_million_edges(spark):
+    from pyspark.sql import functions as F
+
+    n = 1_000_000
+    found = jaccard_join.components(spark.range(n).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b")))
+    assert found.agg(F.count("*"), F.count_if(F.col("root") == F.expr("node - node % 2"))).first() == (2 * n, 2 * n)
+
+
 @pytest.mark.parametrize("case", ["given", "short"])
 def test_decontamination_equals_brute_force(spark, docs, sf, case):
     items = spark.read.parquet(f"{sf}/benchmark.parquet")

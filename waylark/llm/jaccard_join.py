@@ -162,7 +162,7 @@ def components(links: DataFrame) -> DataFrame:
         large = staged(star(least, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         edges = staged(star(least, large).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct(), "star")
-        now = edges.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8))).first()
+        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()  # edges are distinct; unlike a sum, this has no bound
         if known == now:
             break
         known = now
