@@ -53,6 +53,14 @@ def test_templates_are_rejected_by_their_labels(spark):
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(200)) and len({got[i] for i in got if i >= 1000}) == 1
 
 
+def test_branches_far_down_the_path_are_told_apart(spark):
+    start = "http://h.test/en/2024/01/02/a/b"
+    pages = [(i, f"{start}/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)] + [(1000 + i, f"{start}/x/name{chr(97 + i % 26)}{chr(97 + i // 26)}/y") for i in range(100)]
+    labels = spark.createDataFrame([(i, bool(i % 2)) for i in range(100)], "page_id long, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i in range(200)) and len({got[i] for i in got if i >= 1000}) == 1
+
+
 def test_license_places_equal_brute_force(spark, docs):
     more = ["MIT License mit license", "the GNU General Public-License, the apache  license", "general public", "Licensed under CC BY-NC 4.0.", "license mit license", "Redistribution and use in source and binary forms, with or without any modification, are permitted", "É license général public license"]
     all_ = docs.union(spark.createDataFrame([(30_000 + i, t, None, None, None, None) for i, t in enumerate(more)], DOCS))

@@ -3,7 +3,8 @@
 Rules say block or allow for a host, its subdomains and a start of the path; the longest that fits wins. Other URLs are judged by
 their template. Per host, path segments form a tree: runs of digits are generalised, a node with many children for its URLs gets one
 wildcard child, and sibling branches whose labelled shares do not differ significantly from their parent's merge. A template's share
-of bad labels is smoothed towards its host's, and that towards all hosts'; templates at `reject` or more are blocked.
+of bad labels is smoothed towards its host's, and that towards all hosts'; templates at `reject` or more are blocked. The tree is
+as deep as the paths are: wildcards are sought level by level while a node has enough leaves for one, branches merge on all levels at once.
 
 The tree is built over distinct generalised paths, so a host with many pages is added up before it is shuffled.
 
@@ -15,6 +16,7 @@ table gives no rows. Columns other than page_id and url are not read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,6 @@ from waylark.llm.common import staged
 
 #: Verdict, host and start of path.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-LEVELS = 4
 #: Leaves of the tree that are broadcast at most; more are joined by a shuffle.
 BROADCAST_MOST = 200_000
 
@@ -46,58 +47,65 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) ->
     return rule, verdict
 
 
-def segments(path: Column) -> list[Column]:
-    """LEVELS generalised segments, null beyond the path's end, and what stands for deeper ones."""
+def segments(path: Column) -> Column:
+    """The generalised segments of a path, however many."""
     general = F.regexp_replace(path, r"[0-9]+", "#")
-    parts = F.filter(F.split(general, "/"), lambda s: s != "")
-    return [F.get(parts, F.lit(i)) for i in range(LEVELS)] + [F.when(F.size(parts) > LEVELS, "**")]
+    return F.filter(F.split(general, "/"), lambda s: s != "")
+
+
+def grown(leaves: DataFrame, most_children: int, share: float) -> DataFrame:
+    """leaf, host, labelled, bad, and place: the host and the segments, variable ones as wildcards, from the top down."""
+    tree, done, i = leaves.withColumn("node", F.col("host")), [], 0
+    own, deeper = F.col("parts"), F.size("parts")
+    while True:
+        # a node of few leaves has no more children further down: its leaves' segments stay as they are
+        children = tree.where(deeper > i).groupBy("node", F.get(own, F.lit(i)).alias("s")).agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+        nodes = children.groupBy("node").agg(F.count("*").alias("c"), F.sum("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") > most_children)
+        nodes = staged(nodes.select(F.col("node").alias("grows"), ((F.col("c") > most_children) & (F.col("c") >= share * F.col("n"))).alias("wild")), "wildcards")
+        rest = F.concat_ws("/", "node", F.slice(own, F.lit(i + 1), F.greatest(deeper - i, F.lit(0))))
+        if nodes.isEmpty():
+            return reduce(DataFrame.union, [*done, tree.select("leaf", "host", "labelled", "bad", rest.alias("place"))])
+        live = F.col("grows").isNotNull() & (deeper > i)
+        step = F.concat_ws("/", "node", F.when(F.col("wild"), "*").otherwise(F.get(own, F.lit(i))))
+        told = tree.join(nodes, F.col("node") == F.col("grows"), "left").withColumn("place", F.when(~live, rest)).withColumn("node", F.when(live, step)).drop("grows", "wild")
+        told = staged(told, "tree")
+        done.append(told.where("place is not null").select("leaf", "host", "labelled", "bad", "place"))
+        tree, i = told.where("place is null").drop("place"), i + 1
 
 
 def templates(leaves: DataFrame, most_children: int, share: float, z: float, weight: float) -> DataFrame:
-    """leaf, template and the template's smoothed share of bad labels. leaves: leaf, host, s0.., n, labelled, bad."""
-    tree = leaves
-    key = ["host"]
-    for i in range(LEVELS):  # variable segments to wildcards, from the top down
-        children = tree.where(f"s{i} is not null").groupBy(*key, f"s{i}").agg(F.sum("n").alias("n")).groupBy(*key).agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-        wild = staged(children.where((F.col("c") > most_children) & (F.col("c") >= share * F.col("n"))).select(*(F.col(k).alias(f"{k}_w") for k in key)), "wildcards")
-        same = [F.col(k).eqNullSafe(F.col(f"{k}_w")) for k in key]
-        tree = tree.join(wild, same, "left").withColumn(f"t{i}", F.when(F.col(f"s{i}").isNotNull() & F.col("host_w").isNotNull(), "*").otherwise(F.col(f"s{i}"))).drop(*(f"{k}_w" for k in key))
-        key = [*key, f"t{i}"]
-    tree = staged(tree, "tree")
-    names = [*(f"t{i}" for i in range(LEVELS)), f"s{LEVELS}"]
-    of = staged(tree.groupBy("host", *names).agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "grown")
-    for i in range(LEVELS):  # branches that are like their parent merge; sums go by hash, as a parent may have many branches
-        up, down = ["host", *names[:i]], ["host", *names[: i + 1]]
-        branch = of.groupBy(*down).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
-        parent = branch.groupBy(*(F.col(c).alias(f"{c}_p") for c in up)).agg(F.sum("l").alias("l_all"), F.sum("b").alias("b_all"))
-        both = branch.join(parent, [F.col(c).eqNullSafe(F.col(f"{c}_p")) for c in up])
-        p, p_all = F.try_divide("b", "l"), F.try_divide("b_all", "l_all")
-        off = F.try_divide(F.abs(p - p_all), F.sqrt(F.try_divide(p_all * (1 - p_all), F.col("l"))))
-        own = F.when(F.col(names[i]).isNull() | (off >= z), F.col(names[i])).otherwise("~")
-        own = both.select(*(F.col(c).alias(f"{c}_d") for c in down), own.alias(f"m{i}"))
-        of = of.join(own, [F.col(c).eqNullSafe(F.col(f"{c}_d")) for c in down]).drop(*(f"{c}_d" for c in down))
-    of = staged(of, "branches")
-    merged = [f"m{i}" for i in range(LEVELS)]
-    total = of.groupBy("host", *merged, names[-1]).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    """leaf, template and the template's smoothed share of bad labels. leaves: leaf, host, parts, n, labelled, bad."""
+    tree = grown(leaves, most_children, share)
+    of = staged(tree.groupBy("host", "place").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")), "grown")
+    # branches that are like their parent merge, all levels at once; sums go by hash, as a parent may have many branches
+    steps = F.split("place", "/")
+    within = of.select("place", "labelled", "bad", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda j: F.array_join(F.slice(steps, F.lit(1), j), "/"))).alias("level", "node"))
+    branch = staged(within.groupBy("node", "level").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")), "sums")
+    parent = branch.select(F.col("node").alias("up"), F.col("l").alias("l_all"), F.col("b").alias("b_all"))
+    both = branch.where("level > 0").join(parent, F.expr("substring_index(node, '/', level)") == F.col("up"))
+    p, p_all = F.try_divide("b", "l"), F.try_divide("b_all", "l_all")
+    off = F.try_divide(F.abs(p - p_all), F.sqrt(F.try_divide(p_all * (1 - p_all), F.col("l"))))
+    apart = staged(both.where(off >= z).select("node"), "apart")
+    levels = within.join(apart, "node").groupBy("place").agg(F.collect_set("level").alias("levels"))
+    template = F.concat_ws("/", F.transform(steps, lambda s, i: F.when((i == 0) | F.array_contains("levels", i), s).otherwise("~")))
+    of = staged(of.join(levels, "place", "left").select("host", "place", "labelled", "bad", template.alias("template")), "branches")
+    total = of.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     hosts = of.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"))
     all_ = hosts.agg(F.sum("hl").alias("gl"), F.sum("hb").alias("gb"))  # one row
     hosts = hosts.join(F.broadcast(all_)).select("host", ((F.col("hb") + weight * F.coalesce((F.col("gb") + 1) / (F.col("gl") + 2), F.lit(0.5))) / (F.col("hl") + weight)).alias("prior"))
-    told = total.join(hosts, "host").withColumn("purity", (F.col("b") + weight * F.col("prior")) / (F.col("l") + weight))
-    told = told.withColumn("template", F.concat_ws("/", "host", *merged, names[-1])).select("host", *merged, names[-1], "template", "purity")
-    marked = of.select("host", *names, *merged)
-    told = marked.join(told.withColumnsRenamed({c: f"{c}_" for c in ("host", *merged, names[-1])}), [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("host", *merged, names[-1])]).select("host", *names, "template", "purity")
-    told = staged(told, "templates").withColumnsRenamed({c: f"{c}_" for c in ("host", *names)})
-    return tree.join(told, [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("host", *names)]).select("leaf", "template", "purity")
+    told = total.join(hosts, "host").select("template", ((F.col("b") + weight * F.col("prior")) / (F.col("l") + weight)).alias("purity"))
+    told = staged(of.select("place", "template").join(told, "template"), "templates")
+    return tree.join(told, "place").select("leaf", "template", "purity")
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject: float = 0.5, most_children: int = 8, share: float = 0.05, z: float = 1.96, weight: float = 10.0) -> DataFrame:
     """page_id, host, path, rule, verdict, template_share of every page. labels: page_id, bad (boolean)."""
     host, path = host_and_path(F.col("url"))
     parts = segments(F.col("path"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", F.concat_ws("/", "host", *parts).alias("leaf"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).select("*", F.concat_ws("/", "host", parts).alias("leaf"))
     bad = labels.where("page_id is not null").groupBy(F.col("page_id").alias("labelled_id")).agg(F.max(F.coalesce("bad", F.lit(False)).cast("int")).alias("bad"))
     seen = rows.join(bad, F.col("page_id") == F.col("labelled_id"), "left")
-    leaves = seen.groupBy("leaf", "host", *(x.alias(f"s{i}") for i, x in enumerate(parts))).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    leaves = seen.groupBy("leaf", "host", parts.alias("parts")).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     blocked = staged(templates(staged(leaves, "leaves"), most_children, share, z, weight).where(F.col("purity") >= reject).select(F.col("leaf").alias("blocked"), F.col("purity").alias("template_share")), "blocked")
     if blocked.count() <= BROADCAST_MOST:
         blocked = F.broadcast(blocked)
