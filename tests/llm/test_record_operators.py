@@ -112,6 +112,17 @@ def test_templates_that_rewrite_history_are_told(spark):
     assert chat_format.formatted(turns, numbered).where("rewrites").count() >= 19
 
 
+def test_templates_that_reach_far_back_are_told(spark):
+    turns = spark.createDataFrame([(1, i, "user" if i else "system", f"t{i}") for i in range(20)], "conv_id long, turn long, role string, text string")
+    last_eight = lambda t: "".join(f"<{x}>" for _, x in t[-8:])
+    system_last = lambda t: "".join(f"<{x}{t[0][1] if i == len(t) - 1 else ''}>" for i, (_, x) in enumerate(t) if i)
+    plain = lambda t: "".join(f"<{x}>" for _, x in t)
+    told = lambda f: {r["turn_no"] for r in chat_format.formatted(turns, f).where("rewrites").collect()}
+    assert told(last_eight) == set(range(8, 20))
+    assert told(system_last) == set(range(2, 20))
+    assert told(plain) == told(chat_format.marked) == set()
+
+
 def test_nearest_equal_brute_force(spark, sf, monkeypatch):
     monkeypatch.setattr(ann, "SPLIT_ROWS", 60)
     monkeypatch.setattr(ann, "BLOCK_ROWS", 32)

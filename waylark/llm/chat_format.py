@@ -3,10 +3,11 @@
 A template is a function from a list of (role, text) to a string, and nothing else of it is known. Each turn's span is what rendering
 one turn more adds to the output before. Where the text stands in the span is found by rendering the turn twice more with probes in its
 place: what both have in common before and after the probe is the template's own. Templates are told to rewrite history where an
-output does not begin with the one before. A long conversation is rendered over its last CONTEXT turns; for that, the added text must
-be the same with one turn of context less, else the template reaches further back, which counts as rewriting too.
+output does not begin with the one before. Outputs are those of the whole conversation so far, which is held for it. Only a template
+declared append-only (an attribute `append_only`, as `marked` has) is rendered over its last CONTEXT turns, and only those are held,
+however long a conversation; the added text must then be the same with one turn of context less, else it counts as rewriting too.
 
-Turns stream by conversation in the order of turn, role and text; only CONTEXT turns are held at a time, however long a conversation.
+Turns stream by conversation in the order of turn, role and text.
 
 Defined results: a null text or role is empty; a null conv_id is a conversation of its own; turns with the same number go by role and
 text; repeated rows are turns of their own; an empty table gives no rows. Other columns are not read.
@@ -38,6 +39,9 @@ def marked(turns: Turns) -> str:
     return "".join(f"### {head(role)}:\n{body(text)}\n</turn>\n" for role, text in turns)
 
 
+marked.append_only = True  # each turn's text depends on that turn only
+
+
 def unescaped(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
@@ -64,6 +68,8 @@ def added(render: Callable[[Turns], str], before: Turns, turn: tuple[str, str])
 
 
 def _format(render: Callable[[Turns], str], loss_role: str):
+    context = CONTEXT if getattr(render, "append_only", False) else 0  # 0: all turns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, held, no, start = object(), [], 0, 0
         for batch in batches:
@@ -76,7 +82,7 @@ def _format(render: Callable[[Turns], str], loss_role: str):
                 if no > len(held) and not rewrites:
                     rewrites = added(render, held[1:], turn)[0] != chunk
                 out.append((c, no, turn[0], chunk, a, b, start, turn[0] == loss_role, rewrites))
-                held, no, start = [*held, turn][-CONTEXT:], no + 1, start + len(chunk)
+                held, no, start = [*held, turn][-context:], no + 1, start + len(chunk)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_())
             cols = list(zip(*out, strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)], ["conv_id", "turn_no", "role", "chunk", "text_start", "text_end", "start", "loss", "rewrites"])
