@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that are hashed at once; a longer text is cut between words.
 BLOCK = 1 << 20
@@ -21,9 +23,11 @@ _MASK = (1 << 64) - 1
 
 # ---------------------------------------------------------------- shared tables
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset in local mode (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='waylark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,10 +50,73 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds what one Arrow batch of whole texts holds; local workers find this package where the driver did."""
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 512, size: int = 64 << 20) -> None:
+    """Bounds what one Arrow batch of whole texts holds; local workers find this package where the driver did.
+
+    Spark reads these settings when a result is computed, so an operator that returns one can't set them back; `settled` does.
+    """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set(_ROWS, rows)
+    spark.conf.set(_BYTES, size)
+
+
+def settled(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """query(spark, ...) with its result written, and the session's batch settings as they were before."""
+
+    @wraps(query)
+    def run(spark: SparkSession, *args, **more) -> DataFrame:
+        before = {c: spark.conf.get(c, None) for c in (_ROWS, _BYTES)}
+        try:
+            return staged(query(spark, *args, **more), query.__name__)
+        finally:
+            for c, value in before.items():
+                spark.conf.unset(c) if value is None else spark.conf.set(c, value)
+
+    return run
+
+
+# ---------------------------------------------------------------- columns and joins
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores put before them until the input has no such column, upper or lower case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
+def text_key(text: Column, names: tuple[str, str] = ("h1", "h2")) -> list[Column]:
+    """Two columns of 64 bits that tell texts apart, whatever ids their rows have."""
+    return [F.xxhash64(text).alias(names[0]), F.xxhash64(F.lit(7), text).alias(names[1])]
+
+
+#: Rows of a table that is broadcast at most; rows of a key from which on it is a hot one.
+BROADCAST_MOST, HOT_ROWS = 200_000, 10_000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "left") -> DataFrame:
+    """rows with what facts, a staged table of one row per key, says of their key; its column `count` goes.
+
+    count: about how many rows have the key. Few facts are broadcast. Of many, those of hot keys are, whose number is at most the
+    rows' by HOT_ROWS, and the others meet their rows by a shuffle, in which rows with a hot key or none go by a hash of the whole row.
+    """
+    if facts.count() <= BROADCAST_MOST:
+        return rows.join(F.broadcast(facts.drop(count)), key, how)
+    told = [c for c in facts.columns if c not in (key, count)]
+    of = F.struct(*told, F.lit(True).alias("is_there"))
+    hot = facts.where(F.col(count) >= HOT_ROWS).select(F.col(key).alias("hot_key"), of.alias("hot_told"))
+    rest = facts.where(F.col(count) < HOT_ROWS).select(F.col(key).alias("rest_key"), F.lit(0).cast("long").alias("rest_deal"), of.alias("rest_told"))
+    alone = F.when(F.col("hot_told").isNull() & F.col(key).isNotNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(*rows.columns))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left").withColumn("deal", alone)
+    out = out.join(rest, (F.coalesce(key, F.lit("")) == F.col("rest_key")) & (F.col("deal") == F.col("rest_deal")), "left")
+    found = F.coalesce("hot_told", "rest_told")
+    out = out.where(found.isNotNull()) if how == "inner" else out
+    return out.select(key, *(c for c in rows.columns if c != key), *(found[c].alias(c) for c in told))
 
 
 # ---------------------------------------------------------------- hashing
@@ -129,6 +196,49 @@ def word_hashes(column: pa.Array, separator: np.ndarray) -> tuple[np.ndarray, np
     return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), offsets, side="left")
 
 
+def word_counts(column: pa.Array, separator: np.ndarray) -> np.ndarray:
+    """The number of words of each row."""
+    data, offsets = _raw(column)
+    out, at = np.zeros(len(offsets) - 1, np.int64), 0
+    while at < len(data):
+        end = min(len(data), at + BLOCK)
+        inside = ~separator[data[at:end]]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        if at:
+            first[0] &= separator[data[at - 1]]
+        begins = offsets[:-1][(offsets[:-1] >= at) & (offsets[:-1] < end)] - at
+        first[begins] = inside[begins]
+        out += np.bincount(np.searchsorted(offsets, np.flatnonzero(first) + at, side="right") - 1, minlength=len(out))
+        at = end
+    return out
+
+
+class Spelt:
+    """The words of one text as slices of its bytes, A-Z in lower case."""
+
+    def __init__(self, raw: bytes, separator: np.ndarray):
+        self.text = raw.translate(bytes(32 if separator[i] else i + 32 if 65 <= i <= 90 else i for i in range(256)))
+        starts, at = [], 0
+        data = np.frombuffer(self.text, np.uint8)
+        while at < len(data):
+            inside = data[at : at + BLOCK] != 32
+            before = np.append(at > 0 and data[at - 1] != 32, inside[:-1])
+            starts.append(np.flatnonzero(inside & ~before) + at)
+            at += BLOCK
+        self.starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, of: slice) -> list[bytes]:
+        """Some words on end."""
+        a, b = max(0, of.start), min(of.stop, len(self))
+        if a >= b:
+            return []
+        return self.text[self.starts[a] : self.starts[b] if b < len(self) else None].split()
+
+
 def rows_of(offsets: np.ndarray) -> np.ndarray:
     """The row of each element."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
