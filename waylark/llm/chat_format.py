@@ -7,10 +7,11 @@ output does not begin with the one before. Outputs are those of the whole conver
 declared append-only (an attribute `append_only`, as `marked` has) is rendered over its last CONTEXT turns, and only those are held,
 however long a conversation; the added text must then be the same with one turn of context less, else it counts as rewriting too.
 
-Turns stream by conversation in the order of turn, role and text.
+Turns stream by conversation in the order of turn, role and text. Formatted turns are read back in pieces of PIECE characters.
 
 Defined results: a null text or role is empty; a null conv_id is a conversation of its own; turns with the same number go by role and
-text; repeated rows are turns of their own; an empty table gives no rows. Other columns are not read.
+text; repeated rows are turns of their own; a very long text is rendered in whole, some times over, and read back in pieces; an empty
+table gives no rows. Columns other than conv_id, turn, role and text are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -23,11 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waylark.llm.common import small_batches, staged
+from waylark.llm.common import settled, small_batches, staged
 
 Turns = list[tuple[str, str]]
 CONTEXT = 6
 ROWS = 200
+PIECE = 1 << 20
 _PROBES = ("a0x", "b1y")  # alike nowhere
 TURN = "conv_id long, turn_no long, role string, chunk string, text_start long, text_end long, start long, loss boolean, rewrites boolean"
 
@@ -35,18 +37,39 @@ TURN = "conv_id long, turn_no long, role string, chunk string, text_start long,
 def marked(turns: Turns) -> str:
     """The template of the query: a head with the role, the text, an end mark; a backslash before what could be read as one of them."""
     head = lambda role: re.sub(r"([\\#<:\n])", r"\\\1", role)
-    body = lambda text: re.sub(r"([\\#<])", r"\\\1", text)
+    body = lambda text: text.replace("\\", "\\\\").replace("#", "\\#").replace("<", "\\<")
     return "".join(f"### {head(role)}:\n{body(text)}\n</turn>\n" for role, text in turns)
 
 
 marked.append_only = True  # each turn's text depends on that turn only
 
 
-def unescaped(text: str) -> str:
-    return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
+def unescaped(text: str, start: int = 0, end: int | None = None) -> Iterator[str]:
+    """text[start:end] without the backslashes before other characters, in pieces."""
+    end = len(text) if end is None else end
+    while start < end:
+        part = text[start : min(end, start + PIECE)]
+        if (len(part) - len(part.rstrip("\\"))) % 2:  # a backslash stays with what follows it
+            part = text[start : min(end, start + PIECE + 1)]
+        yield re.sub(r"\\(.)", r"\1", part, flags=re.DOTALL)
+        start += len(part)
 
 
-_TURN = re.compile(r"### ((?:\\.|[^\\#<:\n])*):\n((?:\\.|[^\\#<])*)\n</turn>\n", re.DOTALL)
+_HEAD = re.compile(r"\\.|[\\#<:\n]", re.DOTALL)
+_BODY = re.compile(r"\\.|[\\#<]", re.DOTALL)
+_START, _MIDDLE, _END = "### ", ":\n", "\n</turn>\n"
+
+
+def parted(chunk: str) -> tuple[int, int, int]:
+    """Where the role ends, and where the text begins and ends, in a turn as `marked` writes it; what is no such turn is an error."""
+    head = next((m.start() for m in _HEAD.finditer(chunk, len(_START)) if m.group()[0] != "\\" or len(m.group()) == 1), -1)
+    first = head + len(_MIDDLE)
+    if not chunk.startswith(_START) or head < 0 or not chunk.startswith(_MIDDLE, head):
+        raise ValueError(f"no turn: {chunk[:40]!r}")
+    end = next((m.start() for m in _BODY.finditer(chunk, first) if m.group()[0] != "\\" or len(m.group()) == 1), -1) - 1
+    if end < first or chunk[end:] != _END:
+        raise ValueError(f"a turn that doesn't end: {chunk[-40:]!r}")
+    return head, first, end
 
 
 def _common(a: str, b: str) -> int:
@@ -111,15 +134,17 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if state is not None:
                     done.append(told(conv, state))
                 conv, state = r["conv_id"], {"n": 0, "turns": hashlib.sha256(), "loss_n": 0, "loss": hashlib.sha256(), "chars": 0}
-            found = _TURN.fullmatch(r["chunk"])
-            role, text = map(unescaped, found.groups())
+            chunk = r["chunk"]
+            head, first, end = parted(chunk)
             state["n"] += 1
-            state["chars"] += len(r["chunk"])
-            state["turns"].update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+            state["chars"] += len(chunk)
+            for pieces in (unescaped(chunk, len(_START), head), "\n", unescaped(chunk, first, end), "\n"):
+                for x in pieces:
+                    state["turns"].update(x.encode("utf-8", "surrogatepass"))
             if r["loss"]:
-                own = unescaped(r["chunk"][r["text_start"] : r["text_end"]])
-                state["loss_n"] += len(own)
-                state["loss"].update(own.encode("utf-8", "surrogatepass"))
+                for x in unescaped(chunk, r["text_start"], r["text_end"]):
+                    state["loss_n"] += len(x)
+                    state["loss"].update(x.encode("utf-8", "surrogatepass"))
         if done:
             yield _digest_rows(done)
     if state is not None:
@@ -131,6 +156,7 @@ def _digest_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
+@settled
 def op6_chat_format(spark, sf_dir: str) -> DataFrame:
     probe = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
