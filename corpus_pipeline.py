@@ -2,7 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; run() writes and rereads each result. The last stage
 returns the mix: the documents taken, with the words taken of each (`taken`, repeats counted), their size, and their source's size
-and target. Rows without a doc_id take part in every stage.
+and target. Rows without a doc_id take part in every stage, repeated rows are told apart by a number of their own.
+
+Columns beside those of documents are carried along, whatever their names; one named as a column of the mix (size, source_size, target,
+taken) is told under that name with `_given` after it. An empty table gives no rows, as do documents without a text.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waylark.llm.common import staged
+from waylark.llm.common import settled, staged, unused
 from waylark.llm.decontaminate import clean
 from waylark.llm.jaccard_join import keep_one
 from waylark.llm.language_id import keep_identified, train_on
@@ -34,23 +37,25 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixes the sources to their target weights; a document that the mix doesn't reach goes."""
-    found = mix_sources(docs, with_hash=True).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), "text_hash", "size", "source_size", "target", "taken")
-    docs = docs.drop("size", "source_size", "target", "taken", "text_hash")
-    # ids are unique after the stage on duplicates, but for null ones, of which that stage keeps one of each text
-    known = docs.where("doc_id is not null").join(found.drop("text_hash"), F.col("doc_id") == F.col("__id"))
-    told = found.where("__id is null").groupBy("__id", "__source", "text_hash", "size", "source_size", "target").agg(F.max("taken").alias("taken"))
-    lost = docs.where("doc_id is null").join(told, F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64("text") == F.col("text_hash"))).drop("text_hash")
-    return known.union(lost).drop("__id", "__source")
+    own = {"size", "source_size", "target", "taken"}
+    for c in docs.columns:
+        if c.lower() in own:
+            docs = docs.withColumnRenamed(c, unused(docs, f"{c}_given")[0])
+    (row,) = unused(docs, "row_number")
+    docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-input")  # once written, the numbers stay
+    found = mix_sources(docs, row_id=row).where("taken > 0").select(row, "size", "source_size", "target", "taken")
+    return docs.join(found, row).drop(row)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", duplicates), ("benchmark decontamination", benchmark), ("mixing sources", mixture)]
 
 
+@settled
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)  # written as the others, by settled
 
 
 #: SQL can't express language identification.
