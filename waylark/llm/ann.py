@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waylark.llm.common import small_batches, staged
+from waylark.llm.common import settled, small_batches, staged
 
 CURVES, DIMENSIONS, DEPTH, WINDOW = 4, 6, 8, 48
 BLOCK_ROWS, QUERY_ROWS, SPLIT_ROWS = 2048, 512, 25_000
@@ -288,5 +288,6 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, whole: bool = True
     return found.select("query_id", "rank", "vec_id", "score")
 
 
+@settled
 def op7_ann(spark, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -7,8 +7,10 @@ on end count as one piece. Texts are split at white space, and each word gets a
 
 The vocabulary's pieces come from a public file; their scores are set to the negative logarithm of rank + 2.
 
+Scores are held for as many ends as the longest piece has characters, so a word takes no more memory than its text, however long.
+
 Defined results: a null or empty text, or one of white space, has no tokens; repeated rows each get their count; an empty table gives
-no rows. Columns other than doc_id and text are not read.
+no rows; very long texts are split and counted in whole. Columns other than doc_id and text are not read, so none can clash.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from waylark.llm.common import blocks, small_batches
+from waylark.llm.common import blocks, settled, small_batches
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -52,6 +54,7 @@ class Counts(dict):
             self.trie.add_word(piece, (len(piece), score, i == 0))
         self.trie.make_automaton()
         self.unknown = min(s for _, s in pieces) - 10
+        self.longest = max(len(p) for p, _ in pieces)
 
     def __missing__(self, word: str) -> int:
         if len(self) >= KEPT:
@@ -66,35 +69,34 @@ class Counts(dict):
         return found
 
     def count(self, text: str) -> int:
-        n = len(text)
-        score: list[float | None] = [None] * (n + 1)
-        count, last_unknown = [0] * (n + 1), [False] * (n + 1)
+        ring, trie, penalty = self.longest + 1, self.trie, self.unknown
+        score: list[float | None] = [None] * ring
+        count, unknown = [0] * ring, [False] * ring
         score[0] = 0.0
-        done = 0  # ends up to here have their best score
-
-        def end(at: int) -> None:  # after its matches: the single character
-            if not single[at]:
-                new = score[at - 1] + self.unknown
-                if score[at] is None or new > score[at]:
-                    score[at], last_unknown[at] = new, True
-                    count[at] = count[at - 1] + (not last_unknown[at - 1])
-
-        single = [False] * (n + 1)
-        for at, (length, own, unknown) in self.trie.iter(text):
-            at += 1
-            while done < at - 1:
-                done += 1
-                end(done)
-            if length == 1:
-                single[at] = True
-            new = score[at - length] + own
-            if score[at] is None or new > score[at]:
-                score[at], last_unknown[at] = new, unknown
-                count[at] = count[at - length] + (not (unknown and last_unknown[at - length]))
-        while done < n:
-            done += 1
-            end(done)
-        return count[n]
+        at, single = 1, False  # the end whose matches are being read; has it one of a single character
+
+        def close() -> None:
+            """After the matches of an end: the single character, if it is no piece; then the next end is open."""
+            nonlocal at, single
+            own, before = at % ring, (at - 1) % ring
+            if not single:
+                new = score[before] + penalty
+                if score[own] is None or new > score[own]:
+                    score[own], count[own], unknown[own] = new, count[before] + (not unknown[before]), True
+            at, single = at + 1, False
+            score[at % ring] = None
+
+        for end, (length, own, is_unknown) in trie.iter(text):
+            while at <= end:
+                close()
+            single |= length == 1
+            here, before = at % ring, (at - length) % ring
+            new = score[before] + own
+            if score[here] is None or new > score[here]:
+                score[here], count[here], unknown[here] = new, count[before] + (not (is_unknown and unknown[before])), is_unknown
+        while at <= len(text):
+            close()
+        return count[len(text) % ring]
 
 
 def _words(text: str) -> list[str]:
@@ -123,5 +125,6 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_words long")
 
 
+@settled
 def op9_token_count(spark, sf_dir: str) -> DataFrame:
     return count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
