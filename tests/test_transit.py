@@ -7,8 +7,8 @@ from oracle import connect, differs
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.plans import catalog, planner
-from waylark.sources.feed import Feed, FeedError, MissingFile
+from waylark.plans import catalog, planner, service
+from waylark.sources.feed import BadArchive, BadRow, DanglingKey, Feed, FeedError, MissingFile
 from waylark.streaming.questions import answer_stream
 
 STOPS = "stop_id,stop_name,stop_lat,stop_lon,location_type,parent_station,platform_code"
@@ -38,14 +38,20 @@ def folder(tmp_path, **changed):
 
 
 @pytest.fixture(scope="module")
-def net(spark, tmp_path_factory):
-    return Feed.from_directory(spark, folder(tmp_path_factory.mktemp("feed"))).network()
+def ready(spark, tmp_path_factory):
+    return planner.prepare(Feed.from_directory(spark, folder(tmp_path_factory.mktemp("feed"))).network())
 
 
-def ask(spark, net, start, end, time, mode="departure", **more):
+@pytest.fixture(scope="module")
+def net(ready):
+    return ready.net
+
+
+def ask(spark, ready, start, end, time, mode="departure", **more):
+    net = ready.net
     kind = lambda x: "coordinate" if "," in x else "area" if x == "X" else "stop"
     q = spark.createDataFrame([(1, kind(start), start, kind(end), end, mode, time)], "query_id long, from_kind string, from_id string, to_kind string, to_id string, mode string, time_s long")
-    plan = planner.plan(net, q, **more)
+    plan = planner.plan(ready, q, **more)
     name = {r["stop_idx"]: r["stop_id"] for r in net.stops.collect()}
     trip = {r["trip_idx"]: r["trip_id"] for r in net.trips.collect()}
     legs = [(r["kind"], name[r["from_stop"]], name[r["to_stop"]], trip.get(r["trip_idx"]), r["dep_s"], r["arr_s"]) for r in plan.legs.orderBy("leg_no").collect()]
@@ -55,17 +61,18 @@ def ask(spark, net, start, end, time, mode="departure", **more):
 H = lambda t: sum(int(x) * y for x, y in zip(t.split(":"), (3600, 60, 1)))
 
 
-def test_expected_journeys(spark, net):
-    legs, plan = ask(spark, net, "A", "E", H("07:55:00"))
+def test_expected_journeys(spark, ready):
+    net = ready.net
+    legs, plan = ask(spark, ready, "A", "E", H("07:55:00"))
     assert legs == [("transit", "A", "C", "t1", H("08:00:00"), H("08:20:00")), ("walk", "C", "D", None, H("08:20:00"), H("08:23:13")), ("transit", "D", "E", "u2", H("08:40:00"), H("08:50:00"))]
     assert plan.leg_stops(net).count() == 5 and plan.itineraries().first()["arrival_s"] == H("08:50:00")
-    legs, plan = ask(spark, net, "A", "E", H("07:55:00"), allow_walk=False)
+    legs, plan = ask(spark, ready, "A", "E", H("07:55:00"), allow_walk=False)
     assert legs == [] and plan.status().first()["status"] == "no_route"
-    legs, _ = ask(spark, net, "A", "E", H("08:50:00"), mode="arrival")
+    legs, _ = ask(spark, ready, "A", "E", H("08:50:00"), mode="arrival")
     assert legs == [("transit", "A", "C", "t1", H("08:00:00"), H("08:20:00")), ("walk", "C", "D", None, H("08:36:47"), H("08:40:00")), ("transit", "D", "E", "u2", H("08:40:00"), H("08:50:00"))]
-    assert ask(spark, net, "C", "D", 0)[0] == []
-    assert ask(spark, net, "A", "C", H("08:00:01"))[0] == [("transit", "A", "C", "t2", H("08:30:00"), H("08:50:00"))]
-    legs, plan = ask(spark, net, "59.0,18.0", "B", H("08:00:00"))
+    assert ask(spark, ready, "C", "D", 0)[0] == []
+    assert ask(spark, ready, "A", "C", H("08:00:01"))[0] == [("transit", "A", "C", "t2", H("08:30:00"), H("08:50:00"))]
+    legs, plan = ask(spark, ready, "59.0,18.0", "B", H("08:00:00"))
     assert legs == [("transit", "A", "B", "t1", H("08:00:00"), H("08:10:00"))] and plan.leg_stops(net).count() == 2
 
 
@@ -85,11 +92,55 @@ def test_feed_from_archives_and_errors(spark, net, tmp_path):
         Feed(spark, folder(tmp_path / "f", areas=["area_id,area_name,samtrafiken_area_type,new"])).scan("areas")
     assert Feed(spark, at, strict=False).scan("areas").count() == 0
     bad = Feed(spark, folder(tmp_path / "f", stop_areas=["area_id,stop_id", "X,none"]))
-    with pytest.raises(FeedError):
+    with pytest.raises(DanglingKey):
         bad.network()
     assert bad.network(strict=False).stop_areas.count() == 0
-    with pytest.raises(FeedError):
+    with pytest.raises(BadArchive):
         Feed.from_zip(spark, str(tmp_path / "f" / "stops.txt"))
+    with pytest.raises(BadArchive):
+        Feed.from_url(spark, f"file://{tmp_path}/none.zip")
+    assert Feed.from_url(spark, f"file://{tmp_path}/z.zip").network().stop_times.count() == 10
+    row = "A,B,0,sixty,,"
+    with pytest.raises(BadRow):
+        Feed(spark, folder(tmp_path / "f", transfers=[FILES["transfers"][0], row])).checked("transfers")
+    with pytest.raises(DanglingKey):
+        Feed(spark, folder(tmp_path / "f", transfers=[FILES["transfers"][0], "A,B,0,60,t1,none"])).network()
+    trips = [FILES["trips"][0], "1,s,t1,Centre,,,", *FILES["trips"][2:]]
+    net = Feed(spark, folder(tmp_path / "f", trips=trips, transfers=[FILES["transfers"][0], "A,B,0,60,t1,", "A,C,0,,,"])).network()
+    assert {(r["from_id"], r["to_id"], r["from_trip_id"], r["to_trip_id"]) for r in net.transfers_resolved.collect()} == {("A", "B", "t1", None), ("A", "C", None, None)}
+    assert {r["trip_id"]: r["head_sign"] for r in net.trips.collect()}["t1"] == "Centre"
+    (tmp_path / "f" / "agency.txt").write_text("agency_id,agency_name,agency_url,agency_timezone,agency_lang\na,A,u,UTC,en\n")
+    assert Feed(spark, at).scan("agency").first()["agency_name"] == "A"
+
+
+def test_requests_in_strings(spark, ready):
+    kinds = "query_id long, from string, to string, departure_at string, arrive_at string, allow_walk boolean, shapes boolean"
+    asked = [
+        (1, "A", "E", "07:55:00", None, None, None), (2, "A", "E", "07:55:00", None, False, True), (3, "A", "E", "00:00:00", "08:50:00", True, True), (4, "59.0, 18.0", "X", "08:00:00", None, None, None),
+        (5, "none", "E", "08:00:00", None, None, None), (6, "A", "1,x", "08:00:00", None, None, None), (7, "A", None, "08:00:00", None, None, None), (8, "A", "E", "eight", None, None, None), (9, "X", "B", "bad", "08:10:00", None, None),
+    ]
+    found = {r["query_id"]: r for r in service.route(ready, spark.createDataFrame(asked, kinds)).collect()}
+    assert {i: r["status"] for i, r in found.items()} == {1: "ok", 2: "no_route", 3: "ok", 4: "no_route", 5: "unknown_location", 6: "unknown_location", 7: "missing_location", 8: "bad_time", 9: "no_route"}
+    one = found[1]
+    assert (one["from"]["name"], one["to"]["id"], one["departure_s"], one["arrival_s"]) == ("Stop A", "E", H("08:00:00"), H("08:50:00"))
+    assert [(g["mode"], g["from"]["id"], g["to"]["id"], [c["location"]["id"] for c in g["stops"]], g["long_name"], g["shapes"]) for g in one["legs"]] == [("Bus", "A", "C", ["A", "B", "C"], "One", None), ("Walk", "C", "D", [], None, None), ("Subway", "D", "E", ["D", "E"], "Two", None)]
+    assert found[3]["arrival_s"] == H("08:50:00") and service.route(ready, spark.createDataFrame(asked[4:5], kinds)).first()["status"] == "unknown_location"
+    now = service.route(ready, spark.createDataFrame([(1, "C", "A")], "query_id long, from string, to string")).first()
+    assert now["status"] == "no_route"
+
+
+def test_search_and_proximity(spark, net):
+    assert [r["stop_id"] for r in service.search_stops(net, "stop c", 1).collect()] == ["C"]
+    assert service.search_areas(net, "area").first()["area_id"] == "X"
+    assert [r["stop_id"] for r in service.near_stops(net, "59.2,18.0").collect()] == ["C", "D"]
+    assert [r["stop_id"] for r in service.near_stops(net, "59.2,18.0", 10).collect()] == ["C"]
+    assert service.near_areas(net, "59.0,18.0").count() == 1
+    with pytest.raises(ValueError):
+        service.near_stops(net, "nowhere")
+    c = net.stops.where("stop_id = 'C'").first()["stop_idx"]
+    assert [r["stop_id"] for r in net.stops_beside(c).collect()] == ["D"]
+    at = spark.range(1).select(S.now().alias("s")).first()["s"]
+    assert 0 <= at < 86400
 
 
 def column(spark, f, values, kinds):
@@ -117,7 +168,7 @@ def test_loops_and_overtaking_trips_make_patterns(spark, tmp_path):
     at = folder(tmp_path, stop_times=[TIMES] + [f"{c},,0,0,,,," for c in calls], trips=[FILES["trips"][0], "1,s,l1,,,,", "1,s,l2,,,,"])
     net = Feed(spark, at).network()
     assert net.raptor_routes.count() == 2 and net.route_raptors.first()["n_raptors"] == 2
-    assert ask(spark, net, "B", "A", H("08:00:00"))[0] == [("transit", "B", "A", "l1", H("08:10:00"), H("08:20:00"))]
+    assert ask(spark, planner.prepare(net), "B", "A", H("08:00:00"))[0] == [("transit", "B", "A", "l1", H("08:10:00"), H("08:20:00"))]
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -126,31 +177,35 @@ def test_query_equals_its_sql(spark, sf, name):
 
 
 def test_journeys_hold_together(spark, sf):
-    n = catalog.network(spark, sf)
+    net = catalog.prepared(spark, sf)
+    n = net.net
+    calls = n.stop_times.select("trip_idx", "pos", "stop_idx", "arr", "dep").collect()
+    at = {(r["trip_idx"], r["pos"]): (r["stop_idx"], r["arr"], r["dep"]) for r in calls}
     for mode, time in (("departure", 28800), ("arrival", 61200)):
-        legs = planner.plan(n, catalog.questions(n, mode, 8, time)).legs.orderBy("query_id", "leg_no").collect()
+        legs = planner.plan(net, catalog.questions(n, mode, 8, time)).legs.orderBy("query_id", "leg_no").collect()
         assert legs
         for a, b in zip(legs, legs[1:]):
             if a["query_id"] == b["query_id"]:
-                assert a["to_stop"] == b["from_stop"] and a["arr_s"] <= b["dep_s"] + 30
-    calls = n.stop_times.select("trip_idx", "pos", "stop_idx", "arr").collect()
-    at = {(r["trip_idx"], r["pos"]): (r["stop_idx"], r["arr"]) for r in calls}
-    assert all(at[r["trip_idx"], r["to_place"]] == (r["to_stop"], r["arr_s"]) for r in legs if r["kind"] == "transit")
+                assert a["to_stop"] == b["from_stop"] and a["arr_s"] <= b["dep_s"]
+        for r in legs:
+            if r["kind"] == "transit":
+                on, off = at[r["trip_idx"], r["from_place"]], at[r["trip_idx"], r["to_place"]]
+                assert on[0] == r["from_stop"] and off[0] == r["to_stop"] and r["dep_s"] in on[1:] and r["arr_s"] in off[1:]
 
 
 @pytest.mark.parametrize("mode, time", [("departure", 28800), ("arrival", 61200)])
 def test_pruning_leaves_the_answers(spark, sf, mode, time):
-    n = catalog.network(spark, sf)
-    a, b = (planner.plan(n, catalog.questions(n, mode, 10, time), prune=p).best.orderBy("query_id").collect() for p in (True, False))
+    n = catalog.prepared(spark, sf)
+    a, b = (planner.plan(n, catalog.questions(n.net, mode, 10, time), prune=p).best.orderBy("query_id").collect() for p in (True, False))
     assert a == b and len(a) == 10
 
 
-def test_stream_of_questions(spark, net, tmp_path):
+def test_stream_of_questions(spark, ready, tmp_path):
     row = [(1, "stop", "A", "stop", "E", "departure", H("07:55:00"))]
     q = spark.createDataFrame(row, "query_id long, from_kind string, from_id string, to_kind string, to_id string, mode string, time_s long")
     q.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(q.schema).parquet(f"{tmp_path}/in")
-    run = answer_stream(net, stream, f"{tmp_path}/out", f"{tmp_path}/ck", available_now=True)
+    run = answer_stream(ready, stream, f"{tmp_path}/out", f"{tmp_path}/ck", available_now=True)
     run.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3
 

@@ -60,7 +60,17 @@ def parse_coordinate(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(",")) & lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
+def show_coordinate(lat: Column, lon: Column) -> Column:
+    return F.concat_ws(", ", lat.cast("string"), lon.cast("string"))
+
+
 # time
+def now() -> Column:
+    """Seconds of the service day by the session's clock, the same in a whole query."""
+    at = F.current_timestamp()
+    return (F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)).cast("long")
+
+
 def parse_hms(text: Column) -> Column:
     """Seconds of `H:MM:SS`; more parts are ignored, hours may pass 24; null if a part is no number or missing."""
     parts = F.split(text, ":")
@@ -73,6 +83,13 @@ def format_hms(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d", F.expr("0") + F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
 
 
+def leg_text(kind: Column, long_name: Column, short_name: Column) -> Column:
+    """A leg in words; what stands for a missing name is spelt as it must be (a fixed value)."""
+    name = lambda c: F.coalesce(c, F.lit("UNKOWN"))
+    ride = F.concat(F.lit("Travel with "), name(long_name), F.lit("("), name(short_name), F.lit(")"))
+    return F.when(kind == "transit", ride).when(kind == "walk", "Walk").otherwise("Transfer")
+
+
 def mode(route_type: Column) -> Column:
     """Vehicle mode of basic and extended route types."""
     ranges = (("Tram", 0, 900, 999), ("Subway", 1, 400, 405), ("Rail", 2, 100, 199), ("Bus", 3, 700, 799), ("Ferry", 4, 1000, 1099))

@@ -13,17 +13,6 @@ from waylark.functions import scalars as S
 WALK_M = 500.0
 
 
-class DanglingKey(ValueError):
-    """A key that refers to no row, in strict loading."""
-
-
-def check_keys(child: DataFrame, key: str, parent: DataFrame, parent_key: str) -> None:
-    """Raises DanglingKey if child has a key that parent lacks; null keys are no keys."""
-    lost = child.where(F.col(key).isNotNull()).join(parent.select(F.col(parent_key).alias(key)), key, "left_anti").select(key).first()
-    if lost is not None:
-        raise DanglingKey(f"{key} {lost[0]!r}")
-
-
 def near_cells(metres: float, lat: Column) -> tuple[Column, Column]:
     """Cells to reach to either side, (x, y), for a network distance; a degree of longitude shrinks with latitude."""
     straight = metres / S.DETOUR
@@ -44,15 +33,11 @@ class Network:
     areas: DataFrame  # area_idx, area_id, area_name
     stop_areas: DataFrame  # area_idx, stop_idx
     routes: DataFrame  # route_idx, route_id, long_name, short_name, route_type
-    trips: DataFrame  # trip_idx, trip_id, route_idx, shape_idx
+    trips: DataFrame  # trip_idx, trip_id, route_idx, shape_idx, head_sign
     stop_times: DataFrame  # trip_idx, route_idx, pos, stop_idx, arr, dep, dist_m
-    transfers: DataFrame  # from_stop_idx, to_stop_idx, min_transfer_s
+    transfers: DataFrame  # from_stop_idx, to_stop_idx, min_transfer_s, from_trip_idx, to_trip_idx
     shapes: DataFrame  # shape_idx, seq, lat, lon, dist_m
 
-    def check(self) -> None:
-        for child, key, parent, own in ((self.stop_areas, "stop_idx", self.stops, "stop_idx"), (self.stop_areas, "area_idx", self.areas, "area_idx"), (self.trips, "route_idx", self.routes, "route_idx"), (self.stop_times, "trip_idx", self.trips, "trip_idx"), (self.stop_times, "stop_idx", self.stops, "stop_idx"), (self.transfers, "from_stop_idx", self.stops, "stop_idx"), (self.transfers, "to_stop_idx", self.stops, "stop_idx")):
-            check_keys(child, key, parent, own)
-
     # projections
     @property
     def project_stops(self) -> DataFrame:
@@ -86,9 +71,14 @@ class Network:
 
     @property
     def transfers_resolved(self) -> DataFrame:
-        a, b = (self.stops.select(F.col("stop_idx").alias(f"{x}_stop_idx"), F.col("stop_id").alias(f"{x}_id"), F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")) for x in ("from", "to"))
+        """Transfers with the ids of their stops, of the trips they are for, if any, and how long they take."""
+        out = self.transfers
+        for x in ("from", "to"):
+            out = out.join(self.stops.select(F.col("stop_idx").alias(f"{x}_stop_idx"), F.col("stop_id").alias(f"{x}_id"), F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")), f"{x}_stop_idx")
+            out = out.join(self.trips.select(F.col("trip_idx").alias(f"{x}_trip_idx"), F.col("trip_id").alias(f"{x}_trip_id")), f"{x}_trip_idx", "left")
         metres = S.network_distance(*(F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))
-        return self.transfers.join(a, "from_stop_idx").join(b, "to_stop_idx").select("from_stop_idx", "to_stop_idx", "from_id", "to_id", F.coalesce("min_transfer_s", S.walk_seconds(metres)).cast("long").alias("duration_s"))
+        duration = F.coalesce("min_transfer_s", S.walk_seconds(metres)).cast("long").alias("duration_s")
+        return out.select("from_stop_idx", "to_stop_idx", "from_id", "to_id", "from_trip_id", "to_trip_id", duration)
 
     @property
     def stop_times_resolved(self) -> DataFrame:
@@ -143,27 +133,28 @@ class Network:
 
     # trip patterns
     @cached_property
-    def trip_patterns(self) -> DataFrame:
-        """trip_idx, route_idx, stops in order, first departure, shape_idx."""
-        calls = self.stop_times.groupBy("trip_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "stop_idx", "dep"))).alias("c"))
-        return self.trips.join(calls, "trip_idx").select("trip_idx", "route_idx", "shape_idx", F.col("c.stop_idx").alias("stops"), F.col("c")[0]["dep"].alias("dep0"))
+    def timed_trips(self) -> DataFrame:
+        """trip_idx, route_idx, calls (pos, stop_idx, arr, dep) in order, rroute (a pattern is a route and its sequence of stops), trip_rank by first departure."""
+        calls = self.stop_times.groupBy("trip_idx", "route_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "stop_idx", "arr", "dep"))).alias("calls"))
+        key = F.concat_ws(",", F.col("route_idx").cast("string"), F.transform("calls.stop_idx", lambda s: s.cast("string")))
+        rows = calls.withColumn("rroute", F.concat(F.col("route_idx").cast("string"), F.lit("-"), F.substring(F.md5(key), 1, 12)))
+        rank = F.row_number().over(Window.partitionBy("rroute").orderBy(F.col("calls")[0]["dep"], "trip_idx"))
+        return rows.withColumn("trip_rank", rank.cast("long"))
 
     @cached_property
     def ranked_trips(self) -> DataFrame:
-        """trip_idx, rroute (a pattern is a route and its sequence of stops), trip_rank by first departure."""
-        key = F.concat_ws(",", F.col("route_idx").cast("string"), F.transform("stops", lambda s: s.cast("string")))
-        rroute = F.concat(F.col("route_idx").cast("string"), F.lit("-"), F.substring(F.md5(key), 1, 12))
-        rows = self.trip_patterns.withColumn("rroute", rroute)
-        return rows.withColumn("trip_rank", F.row_number().over(Window.partitionBy("rroute").orderBy("dep0", "trip_idx")).cast("long"))
+        """trip_idx, route_idx, stops in order, rroute, trip_rank, shape_idx."""
+        rows = self.timed_trips.select("trip_idx", "route_idx", F.col("calls.stop_idx").alias("stops"), "rroute", "trip_rank")
+        return rows.join(self.trips.select("trip_idx", "shape_idx"), "trip_idx")
 
     @property
     def raptor_routes(self) -> DataFrame:
-        return self.ranked_trips.groupBy("route_idx", "stops").agg(F.count("*").alias("n_trips"), F.min_by("trip_idx", "trip_rank").alias("first_trip"))
+        return self.timed_trips.withColumn("stops", F.col("calls.stop_idx")).groupBy("route_idx", "stops").agg(F.count("*").alias("n_trips"), F.min_by("trip_idx", "trip_rank").alias("first_trip"))
 
     @property
     def pattern_stops(self) -> DataFrame:
         """rroute, route_idx, pos, stop_idx: a row for each place of each pattern."""
-        one = self.ranked_trips.where("trip_rank = 1").select("rroute", "route_idx", F.posexplode("stops").alias("pos", "stop_idx"))
+        one = self.timed_trips.where("trip_rank = 1").select("rroute", "route_idx", F.posexplode("calls.stop_idx").alias("pos", "stop_idx"))
         return one.withColumn("pos", F.col("pos").cast("long"))
 
     @property
@@ -178,11 +169,6 @@ class Network:
     def raptor_shape(self) -> DataFrame:
         return self.ranked_trips.groupBy("rroute", "route_idx").agg(F.min_by("shape_idx", "trip_rank").alias("shape_idx")).select("route_idx", "shape_idx")
 
-    @cached_property
-    def timetable(self) -> DataFrame:
-        """rroute, trip_rank, trip_idx, pos, stop_idx, arr, dep."""
-        return self.stop_times.select("trip_idx", "pos", "stop_idx", "arr", "dep").join(self.ranked_trips.select("trip_idx", "rroute", "trip_rank"), "trip_idx")
-
     @property
     def route_timetable(self) -> DataFrame:
         return self.stop_times.groupBy("route_idx", "trip_idx").agg(F.sort_array(F.collect_list("dep")).alias("departures"))
@@ -228,6 +214,12 @@ class Network:
         return getattr(self, table).where(F.col(key) == value)
 
 
+    def stops_beside(self, stop_idx: int) -> DataFrame:
+        """The stops within a walk of one stop, with their distance."""
+        near = self.walk_edges.where(F.col("from_stop_idx") == stop_idx).select(F.col("to_stop_idx").alias("stop_idx"), "metres", "duration_s")
+        return near.join(self.stops, "stop_idx")
+
+
 def fuzzy_search(df: DataFrame, needle: str, name: str, least: float = 0.1) -> DataFrame:
     """df's rows whose name scores above `least` against the needle, with their score."""
     score = S.fuzzy_score(F.lower(F.lit(needle)), F.lower(F.col(name)))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
-from waylark.operators.network import Network, fuzzy_search
+from waylark.operators.network import Network
 from waylark.plans import planner as P
-from waylark.sources.synthetic import network, with_views
+from waylark.plans import service
+from waylark.sources.synthetic import FOR_TRIPS, HEAD_SIGN, network, version, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -36,6 +37,31 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+_prepared: dict[tuple, P.Prepared] = {}
+
+
+def prepared(spark: SparkSession, sf_dir: str) -> P.Prepared:
+    """The network of sf_dir as the planner needs it; written once per application and version of the tables."""
+    key = version(spark, sf_dir)
+    if key not in _prepared:
+        for old in [k for k in _prepared if k[:2] == key[:2] or k[0] != key[0]]:
+            del _prepared[old]
+        _prepared[key] = P.prepare(network(spark, sf_dir))
+    return _prepared[key]
+
+
+def planned(name: str, sql: str | None = None):
+    """Registers f(prepared network) under name, with its SQL over the views."""
+
+    def wrap(f: Callable[[P.Prepared], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: f(prepared(spark, sf_dir))
+        if sql is not None:
+            ORACLE_SQL[name] = with_views(sql)
+        return f
+
+    return wrap
+
+
 def plain(name: str, view: str, columns: str) -> None:
     query(name, f"SELECT {columns} FROM {view}")(lambda n: getattr(n, view.removeprefix("g_")).select(*columns.split(", ")))
 
@@ -63,7 +89,11 @@ query("area_members", "SELECT area_id, stop_id FROM g_stop_areas JOIN g_areas US
 query("trip_route", "SELECT trip_id, route_id, long_name FROM g_trips JOIN g_routes USING (route_idx)")(lambda n: n.trip_route)
 query("trip_shape", "SELECT trip_id, s.shape_idx FROM g_trips LEFT JOIN (SELECT DISTINCT shape_idx FROM g_shapes) s ON s.shape_idx = route_idx")(lambda n: n.trip_shape)
 DURATION = f"coalesce(t.min_transfer_s, CAST(ceil({sql_metres('a.lat', 'a.lon', 'b.lat', 'b.lon')}/1.5) AS BIGINT))"
-TRANSFERS = f"SELECT t.from_stop_idx, t.to_stop_idx, a.stop_id AS from_id, b.stop_id AS to_id, {DURATION} AS duration_s FROM g_transfers t JOIN g_stops a ON a.stop_idx=t.from_stop_idx JOIN g_stops b ON b.stop_idx=t.to_stop_idx"
+TRANSFERS = (
+    f"SELECT t.from_stop_idx, t.to_stop_idx, a.stop_id AS from_id, b.stop_id AS to_id, x.trip_id AS from_trip_id, y.trip_id AS to_trip_id, {DURATION} AS duration_s "
+    "FROM g_transfers t JOIN g_stops a ON a.stop_idx=t.from_stop_idx JOIN g_stops b ON b.stop_idx=t.to_stop_idx "
+    f"LEFT JOIN g_trips x ON x.trip_idx = {FOR_TRIPS['from_trip_idx']} LEFT JOIN g_trips y ON y.trip_idx = {FOR_TRIPS['to_trip_idx']}"
+)
 query("transfers_resolved", TRANSFERS)(lambda n: n.transfers_resolved)
 query("transfer_duration", f"SELECT from_stop_idx, to_stop_idx, duration_s FROM ({TRANSFERS})")(lambda n: n.transfers_resolved.select("from_stop_idx", "to_stop_idx", "duration_s"))
 query("stop_times_resolved", "SELECT trip_id, stop_id, pos, arr, dep FROM g_stop_times JOIN g_trips USING (trip_idx) JOIN g_stops USING (stop_idx)")(lambda n: n.stop_times_resolved)
@@ -134,47 +164,47 @@ query("parse_coordinate", "SELECT stop_idx, round(lat,6) AS lat, round(lon,6) AS
 query("parse_hms", "SELECT trip_idx, pos, arr + 86400 AS s FROM g_stop_times")(lambda n: n.stop_times.select("trip_idx", "pos", S.parse_hms(S.format_hms(F.col("arr") + 86400)).alias("s")))
 query("format_hms", f"SELECT trip_idx, pos, {HMS.format(c='arr')} AS hms FROM g_stop_times")(lambda n: n.stop_times.select("trip_idx", "pos", S.format_hms(F.col("arr")).alias("hms")))
 query("time_arith", "SELECT trip_idx, pos, dep - arr AS dwell_s, arr + 60 AS later_s FROM g_stop_times")(lambda n: n.stop_times.select("trip_idx", "pos", (F.col("dep") - F.col("arr")).alias("dwell_s"), (F.col("arr") + 60).alias("later_s")))
-query("duration_units", "SELECT pos, pos*60 AS minutes_s, pos*3600 AS hours_s, pos*86400 AS days_s, CAST(pos AS VARCHAR)||'s' AS shown FROM g_stop_times WHERE trip_idx = 7")(lambda n: n.stop_times.where("trip_idx = 7").select("pos", (F.col("pos") * 60).alias("minutes_s"), (F.col("pos") * 3600).alias("hours_s"), (F.col("pos") * 86400).alias("days_s"), F.concat(F.col("pos").cast("string"), F.lit("s")).alias("shown")))
+query("duration_units", "SELECT trip_idx, pos, pos*60 AS minutes_s, pos*3600 AS hours_s, pos*86400 AS days_s, CAST(pos AS VARCHAR)||'s' AS shown FROM g_stop_times")(lambda n: n.stop_times.select("trip_idx", "pos", (F.col("pos") * 60).alias("minutes_s"), (F.col("pos") * 3600).alias("hours_s"), (F.col("pos") * 86400).alias("days_s"), F.concat(F.col("pos").cast("string"), F.lit("s")).alias("shown")))
 MODES = "CASE WHEN route_type=0 OR route_type BETWEEN 900 AND 999 THEN 'Tram' WHEN route_type=1 OR route_type BETWEEN 400 AND 405 THEN 'Subway' WHEN route_type=2 OR route_type BETWEEN 100 AND 199 THEN 'Rail' WHEN route_type=3 OR route_type BETWEEN 700 AND 799 THEN 'Bus' WHEN route_type=4 OR route_type BETWEEN 1000 AND 1099 THEN 'Ferry' ELSE 'Unknown' END"
 query("route_mode", f"SELECT route_id, {MODES} AS mode FROM g_routes")(lambda n: n.routes.select("route_id", S.mode(F.col("route_type")).alias("mode")))
 
 # ---------------------------------------------------------------- search and proximity
 NEEDLE = "red widget"
 FOUND = f"SELECT {{c}}, round({FUZZY.format(n=f'{chr(39)}{NEEDLE}{chr(39)}', t='lower({name})')},6) AS score FROM {{t}} WHERE {FUZZY.format(n=f'{chr(39)}{NEEDLE}{chr(39)}', t='lower({name})')} > 0.1 {{more}} ORDER BY score DESC, {{c}} LIMIT 5"
-query("search_stops", FOUND.format(c="stop_id", name="stop_name", t="g_stops", more="AND stop_idx IN (SELECT stop_idx FROM g_stop_times)"))(lambda n: fuzzy_search(n.stops_with_trips, NEEDLE, "stop_name").select("stop_id", M(F.col("score")).alias("score")).orderBy(F.desc("score"), "stop_id").limit(5))
-query("search_areas", FOUND.format(c="area_id", name="area_name", t="g_areas", more="").replace(NEEDLE, "asian"))(lambda n: fuzzy_search(n.areas, "asian", "area_name").select("area_id", M(F.col("score")).alias("score")).orderBy(F.desc("score"), "area_id").limit(5))
+query("search_stops", FOUND.format(c="stop_id", name="stop_name", t="g_stops", more="AND stop_idx IN (SELECT stop_idx FROM g_stop_times)"))(lambda n: service.search_stops(n, NEEDLE).select("stop_id", M(F.col("score")).alias("score")))
+query("search_areas", FOUND.format(c="area_id", name="area_name", t="g_areas", more="").replace(NEEDLE, "asian"))(lambda n: service.search_areas(n, "asian").select("area_id", M(F.col("score")).alias("score")))
 HERE = (59.0103, 18.0151)
-here = lambda n: n.stops.sparkSession.createDataFrame([(0, *HERE)], "query_id long, lat double, lon double")
+HERE_TEXT = ", ".join(map(str, HERE))
 NEAR = f"SELECT stop_idx, stop_id, {sql_metres(str(HERE[0]), str(HERE[1]), 'lat', 'lon')} AS metres FROM g_stops"
-query("near_stops", f"SELECT stop_id, round(metres,6) AS metres FROM ({NEAR}) WHERE metres <= 500")(lambda n: n.stops_near(here(n)).select("stop_id", M(F.col("metres")).alias("metres")).orderBy("metres", "stop_id"))
-query("near_areas", f"SELECT c.area_id, round({sql_metres(str(HERE[0]), str(HERE[1]), 'c.lat', 'c.lon')},6) AS metres FROM ({NEAR}) s JOIN g_stop_areas m USING (stop_idx) JOIN ({CENTROID}) c ON c.area_idx = m.area_idx WHERE s.metres <= 1000")(lambda n: n.areas_near(here(n), 1000.0).select("area_id", M(F.col("metres")).alias("metres")).orderBy("metres", "area_id"))
+query("near_stops", f"SELECT stop_id, round(metres,6) AS metres FROM ({NEAR}) WHERE metres <= 500")(lambda n: service.near_stops(n, HERE_TEXT).select("stop_id", M(F.col("metres")).alias("metres")))
+query("stops_beside", f"SELECT to_stop_idx AS stop_idx, round(metres,6) AS metres FROM ({WALKS}) WHERE from_stop_idx = 3")(lambda n: n.stops_beside(3).select("stop_idx", M(F.col("metres")).alias("metres")))
+query("near_areas", f"SELECT c.area_id, round({sql_metres(str(HERE[0]), str(HERE[1]), 'c.lat', 'c.lon')},6) AS metres FROM ({NEAR}) s JOIN g_stop_areas m USING (stop_idx) JOIN ({CENTROID}) c ON c.area_idx = m.area_idx WHERE s.metres <= 1000")(lambda n: service.near_areas(n, HERE_TEXT, 1000.0).select("area_id", M(F.col("metres")).alias("metres")))
 
 # ---------------------------------------------------------------- single steps of the planner
 LABELS = "(SELECT stop_idx AS query_id, stop_idx, 28800 + stop_idx * 97 AS t FROM g_stops WHERE parent_idx IS NOT NULL)"
 marks = lambda n, mode="departure", sign=1: n.stops.where("parent_idx is not null").select(F.col("stop_idx").alias("query_id"), F.lit(mode).alias("mode"), "stop_idx", (sign * (28800 + F.col("stop_idx") * 97)).alias("t"))
-places = lambda n: n.pattern_stops.select(F.lit("departure").alias("mode"), "stop_idx", "rroute", "pos").union(n.pattern_stops.select(F.lit("arrival"), "stop_idx", "rroute", -F.col("pos")))
 
 
-def boarded(n: Network, mode: str, sign: int) -> DataFrame:
-    at = marks(n, mode, sign).join(places(n), ["mode", "stop_idx"]).select("query_id", "mode", "rroute", "pos", "t")
-    tt = P.directed(n)
-    return P.next_trip(at, tt).join(tt, ["mode", "rroute", "pos", "trip_rank"]).select("query_id", F.abs("pos").alias("pos"), "trip_idx")
+def boarded(p: P.Prepared, mode: str, sign: int) -> DataFrame:
+    at = marks(p.net, mode, sign).join(p.places, ["mode", "stop_idx"]).select("query_id", "mode", "rroute", "pos", "first", "t")
+    on = P.next_trip(at, p.boards).select("query_id", "rroute", F.abs("pos").alias("pos"), F.abs("trip_rank").alias("trip_rank"))
+    return on.join(p.trips, ["rroute", "trip_rank"]).select("query_id", "pos", "trip_idx")
 
 
-query("earliest_trip", f"SELECT l.query_id, st.pos, arg_min(st.trip_idx, st.arr*10000000+st.trip_idx) AS trip_idx FROM {LABELS} l JOIN g_stop_times st ON st.stop_idx = l.stop_idx AND st.arr >= l.t GROUP BY l.query_id, st.route_idx, st.pos")(lambda n: boarded(n, "departure", 1))
-query("latest_trip", f"SELECT l.query_id, st.pos, arg_max(st.trip_idx, st.arr*10000000+st.trip_idx) AS trip_idx FROM {LABELS} l JOIN g_stop_times st ON st.stop_idx = l.stop_idx AND st.arr <= l.t GROUP BY l.query_id, st.route_idx, st.pos")(lambda n: boarded(n, "arrival", -1))
+planned("earliest_trip", f"SELECT l.query_id, st.pos, arg_min(st.trip_idx, st.arr*10000000+st.trip_idx) AS trip_idx FROM {LABELS} l JOIN g_stop_times st ON st.stop_idx = l.stop_idx AND st.arr >= l.t GROUP BY l.query_id, st.route_idx, st.pos")(lambda p: boarded(p, "departure", 1))
+planned("latest_trip", f"SELECT l.query_id, st.pos, arg_max(st.trip_idx, st.arr*10000000+st.trip_idx) AS trip_idx FROM {LABELS} l JOIN g_stop_times st ON st.stop_idx = l.stop_idx AND st.arr <= l.t GROUP BY l.query_id, st.route_idx, st.pos")(lambda p: boarded(p, "arrival", -1))
 query("routes_serving_stop", "SELECT DISTINCT stop_idx, route_idx, pos FROM g_stop_times")(lambda n: n.pattern_stops.select("stop_idx", "route_idx", "pos"))
-query("active_routes", f"SELECT route_idx, min(pos) AS first_pos, max(pos) AS last_pos FROM g_stop_times WHERE stop_idx IN (SELECT stop_idx FROM {LABELS} WHERE stop_idx % 7 = 0) GROUP BY 1")(lambda n: n.pattern_stops.join(marks(n).where("stop_idx % 7 = 0").select("stop_idx"), "stop_idx", "left_semi").groupBy("route_idx").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")))
+query("active_routes", f"SELECT route_idx, min(pos) AS first_pos, max(pos) AS last_pos FROM g_stop_times WHERE stop_idx IN (SELECT stop_idx FROM {LABELS}) GROUP BY 1")(lambda n: n.pattern_stops.join(marks(n).select("stop_idx"), "stop_idx", "left_semi").groupBy("route_idx").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")))
 FOOT = f"(SELECT from_stop_idx, to_stop_idx, duration_s FROM ({TRANSFERS}) UNION ALL SELECT from_stop_idx, to_stop_idx, CAST(ceil(metres/1.5) AS BIGINT) FROM ({WALKS}))"
 query("transfer_candidates", f"SELECT from_stop_idx, to_stop_idx, duration_s FROM {FOOT}")(lambda n: P.footpaths(n).select("from_stop_idx", "to_stop_idx", "duration_s"))
 query("relax_footpaths", f"SELECT l.query_id, f.to_stop_idx AS stop_idx, min(l.t + f.duration_s) AS t FROM {LABELS} l JOIN {FOOT} f ON f.from_stop_idx = l.stop_idx GROUP BY 1, 2")(lambda n: P.first_of(P.relax_footpaths(marks(n), P.footpaths(n))).select("query_id", "stop_idx", "t"))
 query("relax_footpaths_reverse", f"SELECT l.query_id, f.to_stop_idx AS stop_idx, max(l.t - f.duration_s) AS t FROM {LABELS} l JOIN {FOOT} f ON f.from_stop_idx = l.stop_idx GROUP BY 1, 2")(lambda n: P.first_of(P.relax_footpaths(marks(n, "arrival", -1), P.footpaths(n))).select("query_id", "stop_idx", (-F.col("t")).alias("t")))
 RIDE = "(SELECT l.query_id, l.t, st.route_idx, st.pos, arg_min(st.trip_idx, st.arr*10000000+st.trip_idx) AS trip_idx FROM {labels} l JOIN g_stop_times st ON st.stop_idx = l.stop_idx AND st.arr >= l.t GROUP BY l.query_id, l.t, st.route_idx, st.pos)"
 TRANSIT = "SELECT b.query_id, d.stop_idx, min(d.arr) AS t FROM " + RIDE + " b JOIN g_stop_times d ON d.trip_idx = b.trip_idx AND d.pos > b.pos GROUP BY 1, 2"
-query("relax_transit", TRANSIT.format(labels=LABELS))(lambda n: P.first_of(P.relax_transit(marks(n), places(n), P.directed(n))).select("query_id", "stop_idx", "t"))
+planned("relax_transit", TRANSIT.format(labels=LABELS))(lambda p: P.first_of(P.relax_transit(marks(p.net), p)).select("query_id", "stop_idx", "t"))
 BACK = f"(SELECT l.query_id, l.t, st.route_idx, st.pos, arg_max(st.trip_idx, st.arr*10000000+st.trip_idx) AS trip_idx FROM {LABELS} l JOIN g_stop_times st ON st.stop_idx = l.stop_idx AND st.arr <= l.t GROUP BY l.query_id, l.t, st.route_idx, st.pos)"
-query("relax_transit_reverse", f"SELECT b.query_id, d.stop_idx, max(d.dep) AS t FROM {BACK} b JOIN g_stop_times d ON d.trip_idx = b.trip_idx AND d.pos < b.pos GROUP BY 1, 2")(lambda n: P.first_of(P.relax_transit(marks(n, "arrival", -1), places(n), P.directed(n))).select("query_id", "stop_idx", (-F.col("t")).alias("t")))
-query("merge_labels", f"SELECT query_id, stop_idx, min(t) AS t FROM (SELECT * FROM {LABELS} UNION ALL ({TRANSIT.format(labels=LABELS)})) GROUP BY 1, 2")(lambda n: P.merge(marks(n).select("query_id", "stop_idx", "t"), P.relax_transit(marks(n), places(n), P.directed(n))))
+planned("relax_transit_reverse", f"SELECT b.query_id, d.stop_idx, max(d.dep) AS t FROM {BACK} b JOIN g_stop_times d ON d.trip_idx = b.trip_idx AND d.pos < b.pos GROUP BY 1, 2")(lambda p: P.first_of(P.relax_transit(marks(p.net, "arrival", -1), p)).select("query_id", "stop_idx", (-F.col("t")).alias("t")))
+planned("merge_labels", f"SELECT query_id, stop_idx, min(t) AS t FROM (SELECT * FROM {LABELS} UNION ALL ({TRANSIT.format(labels=LABELS)})) GROUP BY 1, 2")(lambda p: P.merge(marks(p.net).select("query_id", "stop_idx", "t"), P.relax_transit(marks(p.net), p)))
 ASKED = [("stop", "S3"), ("stop", "N4"), ("stop", "S9"), ("area", "A1"), ("area", "A3"), ("coordinate", "59.0103, 18.0151"), ("stop", "none")]
 asked = lambda n, kind: n.stops.sparkSession.createDataFrame([(i, *a) for i, a in enumerate(ASKED) if a[0] == kind], "query_id long, kind string, id string")
 ASKED_SQL = lambda kind: "(VALUES " + ", ".join(f"({i}, '{x}')" for i, (k, x) in enumerate(ASKED) if k == kind) + ") q(query_id, id)"
@@ -198,31 +228,124 @@ def questions(n: Network, mode: str = "departure", count: int = N_QUERIES, time_
 query("seed_labels", "SELECT DISTINCT i.query_id, coalesce(c.stop_idx, s.stop_idx) AS stop_idx, 28800 + i.query_id * 300 AS t FROM (SELECT CAST(range AS BIGINT) AS query_id FROM range(20)) i JOIN g_stops s ON s.stop_id = concat('S', CAST(i.query_id % 10 AS VARCHAR)) LEFT JOIN g_stops c ON c.parent_idx = coalesce(s.parent_idx, s.stop_idx)")(lambda n: P.seeds(n, questions(n))[0].select("query_id", "stop_idx", "t"))
 
 
-def unrolled(rounds: int) -> str:
-    """Labels after some rounds without pruning by the target, as one statement; a round's labels improve on all before."""
-    ctes = ["f0 AS MATERIALIZED (" + ORACLE_SQL["seed_labels"].rpartition("\n")[2] + ")", "b0 AS (SELECT * FROM f0 WHERE false)", f"foot AS MATERIALIZED (SELECT * FROM {FOOT})"]
+def journeys_sql(mode: str, time_s: int, last: str, rounds: int = P.MAX_ROUNDS) -> str:
+    """`last` over labels (of all rounds, not pruned by the target), targets, best and way (the journeys' legs, from the target back).
+
+    A round's labels improve on all before; arrival questions are those of departure over negated times.
+    """
+    sign, own, other = (1, "from_id", "to_id") if mode == "departure" else (-1, "to_id", "from_id")
+    table = "rroute, trip_rank, trip_idx, pos, arr AS board, arr AS reach, dep AS other" if sign == 1 else "rroute, -trip_rank AS trip_rank, trip_idx, -pos AS pos, -arr AS board, -dep AS reach, arr AS other"
+    resolved = "(SELECT DISTINCT q.query_id, coalesce(c.stop_idx, s.stop_idx) AS stop_idx, q.time_s FROM q JOIN g_stops s ON s.stop_id = q.{id} LEFT JOIN g_stops c ON c.parent_idx = coalesce(s.parent_idx, s.stop_idx))"
+    time = lambda ride, t: f"{ride}, {t}" if sign == 1 else f"-({t}), -({ride})"
+    ctes = [
+        f"q AS MATERIALIZED ({questions_sql(time_s)})",
+        "pattern AS (SELECT trip_idx, concat(CAST(route_idx AS VARCHAR), '-', substr(md5(concat(CAST(route_idx AS VARCHAR), ',', string_agg(CAST(stop_idx AS VARCHAR), ',' ORDER BY pos))), 1, 12)) AS rroute, arg_min(dep, pos) AS dep0 FROM g_stop_times GROUP BY trip_idx, route_idx)",
+        "ranked AS (SELECT trip_idx, rroute, row_number() OVER (PARTITION BY rroute ORDER BY dep0, trip_idx) AS trip_rank FROM pattern)",
+        f"tt AS MATERIALIZED (SELECT {table}, stop_idx, pos AS place FROM g_stop_times JOIN ranked USING (trip_idx))",
+        f"foot AS MATERIALIZED (SELECT 'transfer' AS kind, from_stop_idx, to_stop_idx, duration_s FROM ({TRANSFERS}) UNION ALL SELECT 'walk', from_stop_idx, to_stop_idx, CAST(ceil(metres/1.5) AS BIGINT) FROM ({WALKS}))",
+        f"f0 AS MATERIALIZED (SELECT query_id, stop_idx, {sign} * time_s AS t FROM {resolved.format(id=own)})",
+        f"targets AS MATERIALIZED (SELECT query_id, stop_idx FROM {resolved.format(id=other)})",
+        "b0 AS (SELECT query_id, stop_idx, t FROM f0 WHERE false)",
+    ]
+    dep_arr = time("start_s", "reach") if sign == 1 else "-reach, start_s"
     for r in range(1, rounds + 1):
-        ctes.append(f"c{r} AS MATERIALIZED (SELECT x.* FROM ({TRANSIT.format(labels=f'f{r - 1}')}) x LEFT JOIN b{r - 1} b USING (query_id, stop_idx) WHERE b.t IS NULL OR x.t < b.t)")
-        ctes.append(f"m{r} AS MATERIALIZED (SELECT query_id, stop_idx, min(t) AS t FROM (SELECT * FROM b{r - 1} UNION ALL SELECT * FROM c{r}) GROUP BY 1, 2)")
-        ctes.append(f"w{r} AS MATERIALIZED (SELECT x.* FROM (SELECT c.query_id, f.to_stop_idx AS stop_idx, min(c.t + f.duration_s) AS t FROM c{r} c JOIN foot f ON f.from_stop_idx = c.stop_idx GROUP BY 1, 2) x LEFT JOIN m{r} b USING (query_id, stop_idx) WHERE b.t IS NULL OR x.t < b.t)")
-        ctes.append(f"b{r} AS MATERIALIZED (SELECT query_id, stop_idx, min(t) AS t FROM (SELECT * FROM m{r} UNION ALL SELECT * FROM w{r}) GROUP BY 1, 2)")
-        ctes.append(f"f{r} AS MATERIALIZED (SELECT query_id, stop_idx, min(t) AS t FROM (SELECT * FROM c{r} UNION ALL SELECT * FROM w{r}) GROUP BY 1, 2)")
-    union = " UNION ALL ".join(f"SELECT query_id, stop_idx, {r - 1} AS round, t FROM f{r}" for r in range(1, rounds + 1))
-    return with_views("SELECT 1").rpartition("\n")[0] + ", " + ", ".join(ctes) + f" SELECT query_id, stop_idx, CAST(round AS INTEGER) AS round, t FROM ({union})"
-
-
-QUERIES["plan_labels"] = lambda spark, sf_dir: P.plan(n := network(spark, sf_dir), questions(n), max_rounds=3, prune=False).labels.select("query_id", "stop_idx", "round", "t")
-ORACLE_SQL["plan_labels"] = unrolled(3)
-query("plan_forward")(lambda n: P.plan(n, questions(n)).best)
-query("plan_reverse")(lambda n: P.plan(n, questions(n, "arrival", time_s=61200)).best.withColumn("t", -F.col("t")))
-query("plan_status")(lambda n: P.plan(n, questions(n)).status())
-query("itinerary_legs")(lambda n: with_names(n, P.plan(n, questions(n)).legs))
-query("itinerary_stops")(lambda n: P.plan(n, questions(n)).leg_stops(n))
-query("itinerary")(lambda n: P.plan(n, questions(n)).itineraries().withColumn("legs", F.to_json("legs")))
-
-
-def with_names(n: Network, legs: DataFrame) -> DataFrame:
-    """Legs with their mode and the route's names; walks and transfers have none."""
-    route = n.trips.join(n.routes, "route_idx").select("trip_idx", "long_name", "short_name", S.mode(F.col("route_type")).alias("of"))
-    mode = F.when(F.col("kind") == "transit", F.col("of")).when(F.col("kind") == "walk", "Walk").otherwise("Transfer")
-    return legs.join(route, "trip_idx", "left").withColumn("mode", mode).drop("of")
+        ctes += [
+            f"on{r} AS (SELECT l.query_id, l.stop_idx AS from_stop, tt.rroute, tt.pos, min(tt.trip_rank) AS trip_rank FROM f{r - 1} l JOIN tt ON tt.stop_idx = l.stop_idx AND tt.board >= l.t GROUP BY ALL)",
+            f"ride{r} AS (SELECT o.query_id, d.stop_idx, d.reach, o.from_stop, o.rroute, o.trip_rank, o.pos, d.trip_idx, s.place AS from_place, d.place AS to_place, s.other AS start_s FROM on{r} o JOIN tt s USING (rroute, trip_rank, pos) JOIN tt d ON d.rroute = o.rroute AND d.trip_rank = o.trip_rank AND d.pos > o.pos)",
+            f"first{r} AS (SELECT * FROM ride{r} QUALIFY row_number() OVER (PARTITION BY query_id, stop_idx ORDER BY reach, trip_rank, -pos, rroute) = 1)",
+            f"c{r} AS MATERIALIZED (SELECT query_id, stop_idx, reach AS t, 'transit' AS kind, from_stop, trip_idx, from_place, to_place, start_s, reach FROM first{r} LEFT JOIN b{r - 1} b USING (query_id, stop_idx) WHERE b.t IS NULL OR reach < b.t)",
+            f"m{r} AS MATERIALIZED (SELECT query_id, stop_idx, min(t) AS t FROM (SELECT * FROM b{r - 1} UNION ALL SELECT query_id, stop_idx, t FROM c{r}) GROUP BY 1, 2)",
+            f"near{r} AS (SELECT c.query_id, f.to_stop_idx AS stop_idx, c.t + f.duration_s AS t, f.kind, c.stop_idx AS from_stop, c.t AS t0 FROM c{r} c JOIN foot f ON f.from_stop_idx = c.stop_idx QUALIFY row_number() OVER (PARTITION BY c.query_id, f.to_stop_idx ORDER BY c.t + f.duration_s, f.kind, c.stop_idx) = 1)",
+            f"w{r} AS MATERIALIZED (SELECT x.* FROM near{r} x LEFT JOIN m{r} b USING (query_id, stop_idx) WHERE b.t IS NULL OR x.t < b.t)",
+            f"b{r} AS MATERIALIZED (SELECT query_id, stop_idx, min(t) AS t FROM (SELECT * FROM m{r} UNION ALL SELECT query_id, stop_idx, t FROM w{r}) GROUP BY 1, 2)",
+            f"l{r} AS MATERIALIZED (SELECT query_id, stop_idx, t, kind, from_stop, trip_idx, from_place, to_place, {dep_arr.split(', ')[0]} AS dep_s, {dep_arr.split(', ')[1]} AS arr_s FROM c{r} ANTI JOIN w{r} USING (query_id, stop_idx) "
+            f"UNION ALL SELECT query_id, stop_idx, t, kind, from_stop, NULL, NULL, NULL, {'t0' if sign == 1 else '-t'}, {'t' if sign == 1 else '-t0'} FROM w{r})",
+            f"f{r} AS (SELECT query_id, stop_idx, t FROM l{r})",
+        ]
+    ctes.append("labels AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT *, CAST({r - 1} AS INTEGER) AS round FROM l{r}" for r in range(1, rounds + 1)) + ")")
+    ctes.append("best AS MATERIALIZED (SELECT query_id, stop_idx, t, round FROM labels JOIN targets USING (query_id, stop_idx) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY t, round, stop_idx) = 1)")
+    ctes.append("way AS (SELECT l.*, 0 AS depth FROM best JOIN labels l USING (query_id, stop_idx, round) UNION ALL SELECT l.*, depth + 1 FROM way w JOIN labels l ON l.query_id = w.query_id AND l.stop_idx = w.from_stop AND l.round = w.round - CASE WHEN w.kind = 'transit' THEN 1 ELSE 0 END)")
+    order, ends = ("-depth", "from_stop, stop_idx AS to_stop, from_place, to_place") if sign == 1 else ("depth", "stop_idx AS from_stop, from_stop AS to_stop, to_place AS from_place, from_place AS to_place")
+    ctes.append(f"legs AS MATERIALIZED (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {order}) - 1 AS INTEGER) AS leg_no, kind, {ends}, trip_idx, dep_s, arr_s FROM way)")
+    head = ("SELECT trip_idx AS ti, " + HEAD_SIGN + " AS head_sign, long_name, short_name, " + MODES + " AS of FROM g_trips JOIN g_routes USING (route_idx)").replace("STRING", "VARCHAR")
+    ends = ", ".join(f"{x}.stop_id AS {y}_id, {x}.stop_name AS {y}_name, {x}.lat AS {y}_lat, {x}.lon AS {y}_lon" for x, y in (("a", "from"), ("b", "to")))
+    ctes.append(f"named AS MATERIALIZED (SELECT legs.*, {ends}, head_sign, long_name, short_name, CASE kind WHEN 'transit' THEN of WHEN 'walk' THEN 'Walk' ELSE 'Transfer' END AS mode FROM legs JOIN g_stops a ON a.stop_idx = from_stop JOIN g_stops b ON b.stop_idx = to_stop LEFT JOIN ({head}) ON ti = trip_idx)")
+    views = with_views("SELECT 1").rpartition("\n")[0].replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"{views}, {', '.join(ctes)} {last}"
+
+
+def questions_sql(time_s: int) -> str:
+    return f"SELECT CAST(range AS BIGINT) AS query_id, concat('S', CAST(range % 10 AS VARCHAR)) AS from_id, concat('S', CAST((range * 7 + 3) % 10 AS VARCHAR)) AS to_id, {time_s} + range * 300 AS time_s FROM range({N_QUERIES})"
+
+
+def journey(name: str, sql: str, mode: str = "departure", **more):
+    """Registers f(plan) of the questions of a mode, with its SQL over what journeys_sql tells."""
+    time_s = 28800 if mode == "departure" else 61200
+
+    def wrap(f: Callable[[P.Plan], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            net = prepared(spark, sf_dir)
+            return f(P.plan(net, questions(net.net, mode, time_s=time_s), **more))
+
+        QUERIES[name] = run
+        ORACLE_SQL[name] = journeys_sql(mode, time_s, sql)
+        return f
+
+    return wrap
+
+
+LABELLED = "SELECT query_id, stop_idx, round, t, kind, from_stop, trip_idx, dep_s, arr_s FROM labels"
+LEGS = "SELECT query_id, leg_no, kind, trip_idx, from_place, to_place, from_id, to_id, from_name, to_name, dep_s, arr_s, mode, head_sign, long_name, short_name FROM named"
+CALLS = "SELECT query_id, leg_no, pos, stop_idx, stop_id, stop_name, round(lat,6) AS lat, round(lon,6) AS lon, arr, dep, dist_m FROM legs JOIN g_stop_times USING (trip_idx) JOIN g_stops USING (stop_idx) WHERE pos BETWEEN from_place AND to_place"
+SHAPES = "SELECT query_id, leg_no, seq, round(lat,6) AS lat, round(lon,6) AS lon, dist_m FROM legs JOIN g_trips USING (trip_idx) JOIN g_shapes ON shape_idx = g_trips.route_idx"
+SPOKEN = "string_agg(concat_ws(' ', mode, from_id, to_id, CAST(dep_s AS VARCHAR), CAST(arr_s AS VARCHAR), CAST(coalesce(n, 0) AS VARCHAR), coalesce(long_name, '-')), ';' ORDER BY leg_no)"
+WHOLE = (
+    f"SELECT query_id, 'stop' AS from_kind, any_value(q.from_id) AS from_id, any_value(x.stop_name) AS from_name, any_value(q.to_id) AS to_id, any_value(y.stop_name) AS to_name, arg_min(dep_s, leg_no) AS departure_s, arg_max(arr_s, leg_no) AS arrival_s, count(*) AS n_legs, {SPOKEN.replace('from_id', 'named.from_id').replace('to_id', 'named.to_id')} AS legs "
+    "FROM named JOIN q USING (query_id) JOIN g_stops x ON x.stop_id = q.from_id JOIN g_stops y ON y.stop_id = q.to_id "
+    "LEFT JOIN (SELECT query_id, leg_no, count(*) AS n FROM legs JOIN g_stop_times USING (trip_idx) WHERE pos BETWEEN from_place AND to_place GROUP BY 1, 2) USING (query_id, leg_no) GROUP BY query_id"
+)
+_coords = lambda df: df.withColumn("lat", M(F.col("lat"))).withColumn("lon", M(F.col("lon")))
+
+
+def spoken(p: P.Plan) -> DataFrame:
+    """Itineraries with their legs as a line of text each."""
+    line = lambda g: F.concat_ws(" ", g["mode"], g["from"]["id"], g["to"]["id"], g["departure_s"].cast("string"), g["arrival_s"].cast("string"), F.size(g["stops"]).cast("string"), F.coalesce(g["long_name"], F.lit("-")))
+    legs = F.array_join(F.transform("legs", line), ";").alias("legs")
+    return p.itineraries().select("query_id", F.col("from.kind").alias("from_kind"), F.col("from.id").alias("from_id"), F.col("from.name").alias("from_name"), F.col("to.id").alias("to_id"), F.col("to.name").alias("to_name"), "departure_s", "arrival_s", "n_legs", legs)
+
+
+journey("plan_labels", LABELLED, prune=False)(lambda p: p.labels.select("query_id", "stop_idx", "round", "t", "kind", "from_stop", "trip_idx", "dep_s", "arr_s"))
+journey("plan_labels_reverse", LABELLED, "arrival", prune=False)(lambda p: p.labels.select("query_id", "stop_idx", "round", "t", "kind", "from_stop", "trip_idx", "dep_s", "arr_s"))
+journey("plan_forward", "SELECT query_id, stop_idx, t, round FROM best")(lambda p: p.best)
+journey("plan_reverse", "SELECT query_id, stop_idx, -t AS t, round FROM best", "arrival")(lambda p: p.best.withColumn("t", -F.col("t")))
+journey("itinerary_legs", LEGS)(lambda p: p.named_legs().select("query_id", "leg_no", "kind", "trip_idx", "from_place", "to_place", "from_id", "to_id", "from_name", "to_name", "dep_s", "arr_s", "mode", "head_sign", "long_name", "short_name"))
+journey("itinerary_legs_reverse", LEGS, "arrival")(lambda p: p.named_legs().select("query_id", "leg_no", "kind", "trip_idx", "from_place", "to_place", "from_id", "to_id", "from_name", "to_name", "dep_s", "arr_s", "mode", "head_sign", "long_name", "short_name"))
+journey("itinerary_stops", CALLS)(lambda p: _coords(p.leg_stops()))
+journey("itinerary_shapes", SHAPES)(lambda p: _coords(p.leg_shapes()))
+journey("itinerary", WHOLE)(spoken)
+RIDE_TEXT = "CASE kind WHEN 'transit' THEN concat('Travel with ', coalesce(long_name, 'UNKOWN'), '(', coalesce(short_name, 'UNKOWN'), ')') WHEN 'walk' THEN 'Walk' ELSE 'Transfer' END"
+journey("leg_text", f"SELECT query_id, leg_no, {RIDE_TEXT} AS told FROM named")(lambda p: p.named_legs().select("query_id", "leg_no", S.leg_text(F.col("kind"), F.col("long_name"), F.col("short_name")).alias("told")))
+
+journey("marked_stops", "SELECT round, count(*) AS n FROM labels GROUP BY round", prune=False)(lambda p: p.labels.groupBy("round").agg(F.count("*").alias("n")))
+
+
+def asked_in_words(p: P.Prepared) -> DataFrame:
+    """The questions as requests in strings; every other one has a departure too, which an arrival is to beat."""
+    q = questions(p.net, "arrival", time_s=61200)
+    return q.select("query_id", F.col("from_id").alias("from"), F.col("to_id").alias("to"), S.format_hms(F.col("time_s")).alias("arrive_at"), F.when(F.col("query_id") % 2 == 0, "07:00:00").alias("departure_at"))
+
+
+QUERIES["routing"] = lambda spark, sf_dir: service.route(p := prepared(spark, sf_dir), asked_in_words(p)).select("query_id", "status", "departure_s", "arrival_s", "n_legs")
+ORACLE_SQL["routing"] = journeys_sql("arrival", 61200, "SELECT query_id, 'ok' AS status, arg_min(dep_s, leg_no) AS departure_s, arg_max(arr_s, leg_no) AS arrival_s, count(*) AS n_legs FROM legs GROUP BY query_id")
+query("show_coordinate", "SELECT stop_idx, concat(CAST(lat AS VARCHAR), ', ', CAST(lon AS VARCHAR)) AS shown FROM g_stops")(lambda n: n.stops.select("stop_idx", S.show_coordinate(F.col("lat"), F.col("lon")).alias("shown")))
+
+#: Questions with a flaw: kind and id of both ends, and what must be said of them.
+FLAWED = (("stop", "none", "stop", "S3", "invalid_stop"), ("area", "ZZ", "stop", "none", "invalid_area"), ("stop", "S3", "coordinate", "1;2", "invalid_coordinate"), ("coordinate", "0.5,0.5", "stop", "S3", "no_route"))
+
+
+@planned("plan_status", f"SELECT CAST(range AS BIGINT) AS query_id, 'ok' AS status FROM range({N_QUERIES}) UNION ALL SELECT CAST(id AS BIGINT), s FROM (VALUES " + ", ".join(f"({1000 + i}, '{f[4]}')" for i, f in enumerate(FLAWED)) + ") v(id, s)")
+def plan_status(p: P.Prepared) -> DataFrame:
+    """Of questions that have an answer, as plan_forward shows, and of those with a flaw."""
+    asked = questions(p.net)
+    more = asked.sparkSession.createDataFrame([(1000 + i, *f[:4], "departure", 28800) for i, f in enumerate(FLAWED)], asked.schema)
+    return P.plan(p, asked.union(more)).status()

@@ -3,6 +3,9 @@
 A question has query_id, from_kind, from_id, to_kind, to_id (kinds: stop, area, coordinate), mode (departure or arrival) and time_s.
 Times of arrival questions are negated, which turns latest departure into earliest arrival over the reversed timetable, so both modes
 run in the same rounds. Round r holds what r + 1 trips reach. Only improved stops go on; a round's labels are written and read again.
+
+A network is prepared once for all batches: trips with their calls, boarding times by pattern, place and half hour, footpaths. A round is
+then two joins by equal keys, to the half hour in which a trip may be boarded and to the calls of that trip, and a minimum per stop.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waylark.functions import scalars as S
@@ -19,16 +22,19 @@ from waylark.tables import staged
 
 MAX_ROUNDS = 15
 BUCKET_S = 1800
+#: Rows of what a round boards at that are broadcast at most; more meet the timetable by a shuffle.
+BROADCAST_MOST = 500_000
 
 
 # ---------------------------------------------------------------- locations
-def resolve(net: Network, locations: DataFrame) -> DataFrame:
-    """query_id, stop_idx of locations (query_id, kind, id).
+def resolve(net: Network, locations: DataFrame, with_trips: DataFrame | None = None) -> DataFrame:
+    """query_id, stop_idx of locations (query_id, kind, id). with_trips: the stops (stop_idx) that have trips, if known.
 
     A stop stands for all stops of its station; a station for its children; an area for its expanded stops that have trips, or else
     the stops with trips near its centre; a coordinate for the stops with trips near it.
     """
-    with_trips = net.stop_times.select("stop_idx").distinct()
+    if with_trips is None:
+        with_trips = net.stop_times.select("stop_idx").distinct()
     stop = locations.where("kind = 'stop'").join(net.stops.select(F.col("stop_id").alias("id"), "stop_idx", "parent_idx"), "id")
     child = net.stops.select(F.col("parent_idx").alias("station"), F.col("stop_idx").alias("child"))
     stop = stop.withColumn("station", F.coalesce("parent_idx", "stop_idx")).join(child, "station", "left").select("query_id", F.coalesce("child", "stop_idx").alias("stop_idx"))
@@ -48,28 +54,69 @@ def parse_location(net: Network, texts: DataFrame) -> DataFrame:
     return texts.join(area.distinct(), "text", "left").join(stop.distinct(), "text", "left").select("query_id", "text", kind.alias("kind"))
 
 
-# ---------------------------------------------------------------- one round
-def directed(net: Network) -> DataFrame:
-    """The timetable of both modes: mode, rroute, trip_rank, trip_idx, pos, board, reach, other, stop_idx, place."""
-    t = net.timetable
-    forward = t.select(F.lit("departure").alias("mode"), "rroute", "trip_rank", "trip_idx", "pos", F.col("arr").alias("board"), F.col("arr").alias("reach"), F.col("dep").alias("other"), "stop_idx", F.col("pos").alias("place"))
-    back = t.select(F.lit("arrival"), "rroute", -F.col("trip_rank"), "trip_idx", -F.col("pos"), -F.col("arr"), -F.col("dep"), F.col("arr"), "stop_idx", "pos")
-    return forward.union(back)
+def flaws(net: Network, locations: DataFrame) -> DataFrame:
+    """query_id and flaw (invalid_stop, invalid_area, invalid_coordinate) of locations (query_id, kind, id) that are none."""
+    stop, area = net.stops.select(F.col("stop_id").alias("id"), F.lit("stop").alias("kind")), net.areas.select(F.col("area_id").alias("id"), F.lit("area").alias("kind"))
+    known = stop.union(area).distinct().withColumn("known", F.lit(True))
+    found = locations.join(known, ["kind", "id"], "left")
+    bad = F.when(F.col("kind") == "coordinate", S.parse_coordinate(F.col("id")).isNull()).otherwise(F.col("known").isNull())
+    return found.where(F.coalesce(bad, F.lit(True))).select("query_id", F.concat(F.lit("invalid_"), F.coalesce("kind", F.lit("location"))).alias("flaw"))
+
+
+# ---------------------------------------------------------------- the prepared network
+@dataclass(frozen=True)
+class Prepared:
+    """What questions are answered from, written once. `n_places`: how many places of patterns a stop has at most."""
+
+    net: Network
+    places: DataFrame  # mode, stop_idx, rroute, pos, first (bucket)
+    boards: DataFrame  # mode, rroute, pos, bucket, trips (board, trip_rank), later (trip_rank)
+    trips: DataFrame  # rroute, trip_rank, trip_idx, calls (pos, stop_idx, arr, dep)
+    transfers: DataFrame  # kind, from_stop_idx, to_stop_idx, duration_s
+    walks: DataFrame  # likewise
+    served: DataFrame  # stop_idx
+    n_places: int
+
+    def footpaths(self, allow_walk: bool = True) -> DataFrame:
+        return self.transfers.union(self.walks) if allow_walk else self.transfers
 
 
-def next_trip(labels: DataFrame, timetable: DataFrame) -> DataFrame:
-    """labels (mode, rroute, pos, t and more) with the trip_rank of the first trip that may be boarded at t or later.
+def _bucket(time: Column) -> Column:
+    return F.floor(time / BUCKET_S)
 
-    An as-of join: within the label's bucket of time by an equi-join, beyond it from the buckets' first trips.
+
+def prepare(net: Network) -> Prepared:
+    from pyspark.sql import Window
+
+    trips = staged(net.timed_trips.select("rroute", "trip_rank", "trip_idx", "calls"), "trips")
+    t = trips.select("rroute", "trip_rank", F.explode("calls").alias("c")).select("rroute", "trip_rank", "c.*")
+    one = t.select(F.lit("departure").alias("mode"), "rroute", "trip_rank", "pos", "stop_idx", F.col("arr").alias("board"))
+    both = one.union(t.select(F.lit("arrival"), "rroute", -F.col("trip_rank"), -F.col("pos"), "stop_idx", -F.col("arr")))
+    of = both.groupBy("mode", "rroute", "pos", _bucket(F.col("board")).alias("bucket"))
+    of = of.agg(F.min("stop_idx").alias("stop_idx"), F.collect_list(F.struct("board", "trip_rank")).alias("trips"), F.min("trip_rank").alias("least"))
+    place = Window.partitionBy("mode", "rroute", "pos").orderBy("bucket")
+    of = of.withColumn("later", F.min("least").over(place.rowsBetween(1, Window.unboundedFollowing))).withColumn("next", F.lead("bucket").over(place)).withColumn("first", F.min("bucket").over(place))
+    of = staged(of.withColumn("own", F.row_number().over(place)), "boards")
+    # half hours without a trip have the trips after them only
+    idle = of.where("next > bucket + 1").select("mode", "rroute", "pos", F.explode(F.expr("sequence(bucket + 1, next - 1)")).alias("bucket"), F.expr("cast(array() as array<struct<board: bigint, trip_rank: bigint>>)").alias("trips"), "later")
+    boards = of.select("mode", "rroute", "pos", "bucket", "trips", "later").union(idle)
+    places = staged(of.where("own = 1").select("mode", "stop_idx", "rroute", "pos", "first"), "places")
+    most = places.groupBy("stop_idx").count().agg(F.max("count")).first()[0] or 1
+    served = staged(places.select("stop_idx").distinct(), "served")
+    kind = lambda name, df: staged(df.select(F.lit(name).alias("kind"), "from_stop_idx", "to_stop_idx", "duration_s"), name)
+    return Prepared(net, places, staged(boards, "boards-all"), trips, kind("transfer", net.transfers_resolved), kind("walk", net.walk_edges), served, most)
+
+
+# ---------------------------------------------------------------- one round
+def next_trip(at: DataFrame, boards: DataFrame) -> DataFrame:
+    """at (mode, rroute, pos, first, t and more) with the trip_rank of the first trip that may be boarded at t or later.
+
+    An as-of join by equal keys: the half hour of t, or the place's first one, has its own trips and the first of those after it.
     """
-    keys = ["mode", "rroute", "pos"]
-    bucket = lambda c: F.floor(F.col(c) / BUCKET_S)
-    timed = timetable.select(*keys, "trip_rank", "board", bucket("board").alias("bucket"))
-    firsts = timed.groupBy(*keys, "bucket").agg(F.min("trip_rank").alias("trip_rank")).withColumnRenamed("bucket", "later")
-    own = labels.withColumn("bucket", bucket("t"))
-    same = own.join(timed, [*keys, "bucket"]).where("board >= t").drop("board")
-    later = own.join(firsts, keys).where("later > bucket").drop("later").select(*same.columns)
-    return same.union(later).groupBy(*labels.columns).agg(F.min("trip_rank").alias("trip_rank"))
+    own = at.withColumn("bucket", F.greatest(_bucket(F.col("t")), "first")).drop("first")
+    on = own.join(boards, ["mode", "rroute", "pos", "bucket"])
+    left = F.transform(F.filter("trips", lambda x: x["board"] >= F.col("t")), lambda x: x["trip_rank"])
+    return on.withColumn("trip_rank", F.least(F.array_min(left), "later")).where("trip_rank is not null").drop("bucket", "trips", "later")
 
 
 LABEL = ["query_id", "mode", "stop_idx", "t", "kind", "from_stop", "trip_idx", "from_place", "to_place", "dep_s", "arr_s"]
@@ -82,17 +129,21 @@ def better(candidates: DataFrame, best: DataFrame, target: DataFrame) -> DataFra
     return out.where("(best is null or t < best) and (goal is null or t < goal)").drop("best", "goal")
 
 
-def relax_transit(frontier: DataFrame, places: DataFrame, timetable: DataFrame) -> DataFrame:
-    """LABEL and order of what trips boarded at the frontier (query_id, mode, stop_idx, t) reach."""
-    at = frontier.join(places, ["mode", "stop_idx"]).select("query_id", "mode", "rroute", "pos", "t", F.col("stop_idx").alias("from_stop"))
-    on = next_trip(at, timetable).drop("t")
-    start = timetable.select("mode", "rroute", "trip_rank", "pos", F.col("other").alias("start_s"), F.col("place").alias("from_place"))
-    on = on.join(start, ["mode", "rroute", "trip_rank", "pos"])
-    down = timetable.select("mode", "rroute", "trip_rank", "trip_idx", F.col("pos").alias("pos2"), "reach", F.col("stop_idx"), F.col("place").alias("to_place"))
-    ride = on.join(down, ["mode", "rroute", "trip_rank"]).where("pos2 > pos")
+def relax_transit(frontier: DataFrame, net: Prepared, few: bool = False) -> DataFrame:
+    """LABEL and order of what trips boarded at the frontier (query_id, mode, stop_idx, t) reach. few: the frontier is small."""
+    near = F.broadcast if few else lambda df: df
+    at = near(frontier).join(net.places, ["mode", "stop_idx"]).select("query_id", "mode", "rroute", "pos", "first", "t", F.col("stop_idx").alias("from_stop"))
+    on = near(next_trip(near(at), net.boards).drop("t").withColumn("rank", F.abs("trip_rank")))
+    trips = net.trips.select("rroute", F.col("trip_rank").alias("rank"), "trip_idx", "calls")
+    on = on.join(trips, ["rroute", "rank"])
     forward = F.col("mode") == "departure"
+    start = F.element_at(F.filter("calls", lambda c: c["pos"] == F.abs("pos")), 1)
+    down = F.filter("calls", lambda c: F.when(forward, c["pos"] > F.col("pos")).otherwise(-c["pos"] > F.col("pos")))
+    ride = on.select("*", F.when(forward, start["dep"]).otherwise(start["arr"]).alias("start_s"), F.explode(down).alias("c"))
+    ride = ride.withColumn("reach", F.when(forward, F.col("c.arr")).otherwise(-F.col("c.dep")))
     return ride.select(
-        "query_id", "mode", "stop_idx", F.col("reach").alias("t"), F.lit("transit").alias("kind"), "from_stop", "trip_idx", "from_place", "to_place",
+        "query_id", "mode", F.col("c.stop_idx").alias("stop_idx"), F.col("reach").alias("t"), F.lit("transit").alias("kind"), "from_stop", "trip_idx",
+        F.abs("pos").alias("from_place"), F.col("c.pos").alias("to_place"),
         F.when(forward, F.col("start_s")).otherwise(-F.col("reach")).alias("dep_s"), F.when(forward, F.col("reach")).otherwise(F.col("start_s")).alias("arr_s"),
         F.struct("reach", "trip_rank", -F.col("pos"), "rroute").alias("order"),
     )
@@ -119,12 +170,17 @@ def merge(best: DataFrame, labels: DataFrame) -> DataFrame:
     return best.union(labels.select("query_id", "stop_idx", "t")).groupBy("query_id", "stop_idx").agg(F.min("t").alias("t"))
 
 
+LEG = ["kind", "from_stop", "stop_idx", "trip_idx", "from_place", "to_place", "dep_s", "arr_s"]
+#: Legs that a written step of the way back adds.
+HOPS = 4
+
+
 @dataclass(frozen=True)
 class Plan:
     queries: DataFrame
     labels: DataFrame  # LABEL and round: of each round what it improved
     targets: DataFrame  # query_id, stop_idx
-    rounds: int
+    net: Network
 
     @cached_property
     def best(self) -> DataFrame:
@@ -135,41 +191,86 @@ class Plan:
     @cached_property
     def legs(self) -> DataFrame:
         """query_id, leg_no, kind, from_stop, to_stop, trip_idx, from_place, to_place, dep_s, arr_s, in order of travel."""
-        at, found, depth = self.best.select("query_id", "stop_idx", "round"), [], 0
-        while depth <= 2 * self.rounds and not (depth and at.isEmpty()):
-            step = staged(at.join(self.labels, ["query_id", "stop_idx", "round"]).withColumn("depth", F.lit(depth)), "legs")
-            found.append(step)
-            down = F.col("round") - (F.col("kind") == "transit").cast("int")
-            at = step.select("query_id", F.col("from_stop").alias("stop_idx"), down.alias("round")).where("round >= 0")
-            depth += 1
-        rows = reduce(DataFrame.union, found)
-        forward = F.col("mode") == "departure"
-        number = F.row_number().over(_by_travel()) - 1
-        return rows.withColumn("order", F.when(forward, -F.col("depth")).otherwise(F.col("depth"))).select(
-            "query_id", number.alias("leg_no"), "kind", F.when(forward, F.col("from_stop")).otherwise(F.col("stop_idx")).alias("from_stop"),
-            F.when(forward, F.col("stop_idx")).otherwise(F.col("from_stop")).alias("to_stop"), "trip_idx",
-            F.when(forward, F.col("from_place")).otherwise(F.col("to_place")).alias("from_place"), F.when(forward, F.col("to_place")).otherwise(F.col("from_place")).alias("to_place"), "dep_s", "arr_s",
+        of = F.struct(*LEG)
+        labels = self.labels.select("query_id", F.col("stop_idx").alias("at"), "round", "from_stop", of.alias("leg"))
+        none = F.array().cast(f"array<{labels.schema['leg'].dataType.simpleString()}>")
+        way = self.best.select("query_id", F.col("stop_idx").alias("at"), "round", none.alias("path"))
+        while True:
+            for _ in range(HOPS):  # a leg back each: a trip is of a round, a footpath of its trip's
+                way = way.join(labels, ["query_id", "at", "round"], "left")
+                on = F.col("leg").isNotNull()
+                back = F.when(on, F.col("round") - (F.col("leg.kind") == "transit").cast("int")).otherwise(-1)
+                way = way.select("query_id", F.coalesce("from_stop", "at").alias("at"), back.alias("round"), F.when(on, F.concat("path", F.array("leg"))).otherwise(F.col("path")).alias("path"))
+            way = staged(way, "way-back")
+            if way.where("round >= 0").isEmpty():
+                break
+        mode = self.queries.select("query_id", (F.col("mode") == "departure").alias("forward"))
+        rows = way.join(mode, "query_id").select("query_id", "forward", F.posexplode(F.when(F.col("forward"), F.reverse("path")).otherwise(F.col("path"))).alias("leg_no", "x"))
+        rows = rows.select("query_id", "leg_no", "forward", "x.*")
+        swap = lambda a, b: F.when(F.col("forward"), F.col(a)).otherwise(F.col(b))
+        return rows.select(
+            "query_id", "leg_no", "kind", swap("from_stop", "stop_idx").alias("from_stop"), swap("stop_idx", "from_stop").alias("to_stop"), "trip_idx",
+            swap("from_place", "to_place").alias("from_place"), swap("to_place", "from_place").alias("to_place"), "dep_s", "arr_s",
         )
 
-    def leg_stops(self, net: Network) -> DataFrame:
-        """query_id, leg_no, pos, stop_idx, arr, dep, dist_m of the calls of each transit leg; walks and transfers have none."""
+    def named_legs(self) -> DataFrame:
+        """The legs with the ids and names of their ends, their mode, and their trip's head sign and route names; footpaths have none of these."""
+        net = self.net
+        of = net.trips.select("trip_idx", "route_idx", "head_sign").join(net.routes, "route_idx").select("trip_idx", "head_sign", "long_name", "short_name", S.mode(F.col("route_type")).alias("of"))
+        mode = F.when(F.col("kind") == "transit", F.col("of")).when(F.col("kind") == "walk", "Walk").otherwise("Transfer")
+        ends = [net.stops.select(F.col("stop_idx").alias(f"{x}_stop"), F.col("stop_id").alias(f"{x}_id"), F.col("stop_name").alias(f"{x}_name"), F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")) for x in ("from", "to")]
+        return self.legs.join(of, "trip_idx", "left").join(ends[0], "from_stop").join(ends[1], "to_stop").withColumn("mode", mode).drop("of")
+
+    def leg_stops(self, net: Network | None = None) -> DataFrame:
+        """query_id, leg_no, pos, stop_idx, its id, name and coordinate, arr, dep, dist_m of the calls of each transit leg; footpaths have none."""
+        net = net or self.net
         calls = net.stop_times.select("trip_idx", "pos", "stop_idx", "arr", "dep", "dist_m")
-        return self.legs.where("kind = 'transit'").join(calls, "trip_idx").where("pos between from_place and to_place").select("query_id", "leg_no", "pos", "stop_idx", "arr", "dep", "dist_m")
-
-    def itineraries(self) -> DataFrame:
-        """query_id, departure_s, arrival_s, n_legs, legs (array in order)."""
-        leg = F.struct("leg_no", "kind", "from_stop", "to_stop", "trip_idx", "dep_s", "arr_s")
-        return self.legs.groupBy("query_id").agg(F.min_by("dep_s", "leg_no").alias("departure_s"), F.max_by("arr_s", "leg_no").alias("arrival_s"), F.count("*").alias("n_legs"), F.sort_array(F.collect_list(leg)).alias("legs"))
+        found = self.legs.where("kind = 'transit'").join(calls, "trip_idx").where("pos between from_place and to_place")
+        return found.join(net.stops.select("stop_idx", "stop_id", "stop_name", "lat", "lon"), "stop_idx").select("query_id", "leg_no", "pos", "stop_idx", "stop_id", "stop_name", "lat", "lon", "arr", "dep", "dist_m")
+
+    def leg_shapes(self) -> DataFrame:
+        """query_id, leg_no, seq, lat, lon, dist_m: the shape of each transit leg's trip."""
+        trip = self.legs.where("kind = 'transit'").select("query_id", "leg_no", "trip_idx")
+        return trip.join(self.net.trips.select("trip_idx", "shape_idx"), "trip_idx").join(self.net.shapes, "shape_idx").select("query_id", "leg_no", "seq", "lat", "lon", "dist_m")
+
+    def itineraries(self, shapes: bool = False) -> DataFrame:
+        """query_id, from, to (kind, id, name, lat, lon), departure_s, arrival_s, n_legs, and legs in order: each with its ends, times,
+        stops, mode, head sign and names, and with `shapes` the points of its trip's shape, else null."""
+        place = lambda x, kind="stop": F.struct(F.lit(kind).alias("kind"), F.col(f"{x}id").alias("id"), F.col(f"{x}name").alias("name"), F.col(f"{x}lat").alias("lat"), F.col(f"{x}lon").alias("lon"))
+        call = F.struct("pos", place("stop_").alias("location"), F.col("arr").alias("arrival_s"), F.col("dep").alias("departure_s"), F.col("dist_m").alias("distance_m"))
+        stops = self.leg_stops().withColumnsRenamed({"lat": "stop_lat", "lon": "stop_lon"}).groupBy("query_id", "leg_no").agg(F.sort_array(F.collect_list(call)).alias("stops"))
+        rows = self.named_legs().join(stops, ["query_id", "leg_no"], "left")
+        if shapes:
+            point = F.struct("seq", "lat", "lon", "dist_m")
+            rows = rows.join(self.leg_shapes().groupBy("query_id", "leg_no").agg(F.sort_array(F.collect_list(point)).alias("shapes")), ["query_id", "leg_no"], "left")
+        else:
+            rows = rows.withColumn("shapes", F.lit(None).cast("array<struct<seq: bigint, lat: double, lon: double, dist_m: double>>"))
+        leg = F.struct("leg_no", place("from_").alias("from"), place("to_").alias("to"), F.col("dep_s").alias("departure_s"), F.col("arr_s").alias("arrival_s"), F.coalesce("stops", F.array()).alias("stops"), "mode", "head_sign", "long_name", "short_name", "shapes", "kind", "trip_idx")
+        of = rows.groupBy("query_id").agg(F.min_by("dep_s", "leg_no").alias("departure_s"), F.max_by("arr_s", "leg_no").alias("arrival_s"), F.count("*").alias("n_legs"), F.sort_array(F.collect_list(leg)).alias("legs"))
+        ends = self.ends()
+        for x in ("from", "to"):
+            of = of.join(ends.where(F.col("end") == x).select("query_id", F.struct("kind", "id", "name", "lat", "lon").alias(x)), "query_id")
+        return of.select("query_id", "from", "to", "departure_s", "arrival_s", "n_legs", "legs")
+
+    def ends(self) -> DataFrame:
+        """query_id, end (from or to), kind, id, name, lat, lon of the questions' locations; a coordinate's id and name are how it is shown."""
+        asked = self.queries
+        rows = asked.select("query_id", F.lit("from").alias("end"), F.col("from_kind").alias("kind"), F.col("from_id").alias("id"))
+        rows = rows.union(asked.select("query_id", F.lit("to"), "to_kind", "to_id"))
+        net, at = self.net, S.parse_coordinate(F.col("id"))
+        stop = net.stops.select(F.col("stop_id").alias("id"), F.lit("stop").alias("kind"), F.col("stop_name").alias("name"), "lat", "lon")
+        known = stop.union(net.area_centroid.select("area_id", F.lit("area"), "area_name", "lat", "lon"))
+        named = rows.where("kind <> 'coordinate'").join(known, ["kind", "id"]).select("query_id", "end", "kind", "id", "name", "lat", "lon")
+        shown = S.show_coordinate(at["lat"], at["lon"])
+        return named.union(rows.where("kind = 'coordinate'").select("query_id", "end", "kind", shown.alias("id"), shown.alias("name"), at["lat"].alias("lat"), at["lon"].alias("lon")))
 
     def status(self) -> DataFrame:
-        """query_id and ok or no_route; nothing is raised for a question without a route."""
-        return self.queries.select("query_id").join(self.best.select("query_id", F.lit("ok").alias("found")), "query_id", "left").select("query_id", F.coalesce("found", F.lit("no_route")).alias("status"))
-
-
-def _by_travel():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("query_id").orderBy("order")
+        """query_id and ok, no_route, or what is wrong with a location, that of `from` first (invalid_stop, invalid_area,
+        invalid_coordinate); nothing is raised for a question without a route."""
+        q = self.queries
+        own = lambda x: flaws(self.net, q.select("query_id", F.col(f"{x}_kind").alias("kind"), F.col(f"{x}_id").alias("id"))).withColumnRenamed("flaw", x)
+        out = q.select("query_id").join(self.best.select("query_id", F.lit("ok").alias("found")), "query_id", "left").join(own("from"), "query_id", "left").join(own("to"), "query_id", "left")
+        return out.select("query_id", F.coalesce("found", "from", "to", F.lit("no_route")).alias("status"))
 
 
 def footpaths(net: Network, allow_walk: bool = True) -> DataFrame:
@@ -177,36 +278,40 @@ def footpaths(net: Network, allow_walk: bool = True) -> DataFrame:
     return out.union(net.walk_edges.select(F.lit("walk"), "from_stop_idx", "to_stop_idx", "duration_s")) if allow_walk else out
 
 
-def seeds(net: Network, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def seeds(net: Network, queries: DataFrame, with_trips: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Frontier (query_id, mode, stop_idx, t) and targets (query_id, stop_idx): arrival questions start at their destination."""
     forward = F.col("mode") == "departure"
     ends = lambda own, other: queries.select("query_id", F.when(forward, F.col(f"{own}_kind")).otherwise(F.col(f"{other}_kind")).alias("kind"), F.when(forward, F.col(f"{own}_id")).otherwise(F.col(f"{other}_id")).alias("id"))
-    start = resolve(net, ends("from", "to")).join(queries.select("query_id", "mode", F.when(forward, F.col("time_s")).otherwise(-F.col("time_s")).cast("long").alias("t")), "query_id")
-    return start.select("query_id", "mode", "stop_idx", "t"), resolve(net, ends("to", "from"))
+    start = resolve(net, ends("from", "to"), with_trips).join(queries.select("query_id", "mode", F.when(forward, F.col("time_s")).otherwise(-F.col("time_s")).cast("long").alias("t")), "query_id")
+    return start.select("query_id", "mode", "stop_idx", "t"), resolve(net, ends("to", "from"), with_trips)
+
 
+def plan(net: Network | Prepared, queries: DataFrame, allow_walk: bool = True, max_rounds: int = MAX_ROUNDS, prune: bool = True) -> Plan:
+    """Answers all questions at once. prune: labels no better than the target's are dropped, which leaves the answers as they are.
 
-def plan(net: Network, queries: DataFrame, allow_walk: bool = True, max_rounds: int = MAX_ROUNDS, prune: bool = True) -> Plan:
-    """Answers all questions at once. prune: labels no better than the target's are dropped, which leaves the answers as they are."""
+    A network is prepared first; who asks several batches prepares it once.
+    """
+    net = net if isinstance(net, Prepared) else prepare(net)
     spark = queries.sparkSession
-    timetable = staged(directed(net), "timetable")
-    places = net.pattern_stops
-    places = staged(places.select(F.lit("departure").alias("mode"), "stop_idx", "rroute", "pos").union(places.select(F.lit("arrival"), "stop_idx", "rroute", -F.col("pos"))), "places")
-    edges = staged(footpaths(net, allow_walk), "footpaths")
-    frontier, targets = seeds(net, queries)
-    frontier, targets = staged(frontier, "frontier"), staged(targets, "targets")
+    edges = net.footpaths(allow_walk)
+    frontier, targets = (staged(df, name) for df, name in zip(seeds(net.net, queries, net.served), ("frontier", "targets"), strict=True))
     best = spark.createDataFrame([], "query_id long, stop_idx long, t long")
     target = spark.createDataFrame([], "query_id long, t long")
-    rounds = []
+    rounds: list[DataFrame] = []
     for number in range(max_rounds):
-        by_trip = staged(first_of(better(relax_transit(frontier, places, timetable), best, target)), "by-trip")
-        best = merge(best, by_trip)
-        on_foot = staged(first_of(better(relax_footpaths(by_trip, edges), best, target)), "on-foot")
-        best = staged(merge(best, on_foot), "best")
-        labels = by_trip.join(on_foot.select("query_id", "stop_idx"), ["query_id", "stop_idx"], "left_anti").select(*LABEL).union(on_foot.select(*LABEL))
-        rounds.append(labels.withColumn("round", F.lit(number)))
-        frontier = labels.select("query_id", "mode", "stop_idx", "t")
+        few = frontier.count() * net.n_places <= BROADCAST_MOST
+        by_trip = staged(better(first_of(relax_transit(frontier, net, few)), best, target), "by-trip")
         if by_trip.isEmpty():
             break
+        # on foot from there; a stop that is reached sooner so than by a trip of this round keeps that label only
+        on_foot = better(relax_footpaths(by_trip, edges).drop("order"), best, target)
+        order = F.struct("t", (F.col("kind") != "transit").alias("foot"), "kind", "from_stop")
+        labels = by_trip.select(*LABEL).union(on_foot.select(*LABEL)).withColumn("order", order)
+        labels = staged(first_of(labels).withColumn("round", F.lit(number)), "labels")
+        rounds.append(labels)
+        best = reduce(DataFrame.union, (r.select("query_id", "stop_idx", "t") for r in rounds)).groupBy("query_id", "stop_idx").agg(F.min("t").alias("t"))
         if prune:
-            target = staged(best.join(targets, ["query_id", "stop_idx"]).groupBy("query_id").agg(F.min("t").alias("t")), "target")
-    return Plan(queries, staged(reduce(DataFrame.union, rounds), "labels"), targets, max_rounds)
+            target = best.join(F.broadcast(targets) if few else targets, ["query_id", "stop_idx"]).groupBy("query_id").agg(F.min("t").alias("t"))
+        frontier = labels.select("query_id", "mode", "stop_idx", "t")
+    none = spark.createDataFrame([], "query_id long, mode string, stop_idx long, t long, kind string, from_stop long, trip_idx long, from_place long, to_place long, dep_s long, arr_s long, round int")
+    return Plan(queries, reduce(DataFrame.union, rounds) if rounds else none, targets, net.net)

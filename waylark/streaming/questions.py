@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from waylark.operators.network import Network
-from waylark.plans.planner import plan
+from waylark.plans.planner import Prepared, plan, prepare
 
 
-def answer_stream(net: Network, questions: DataFrame, out: str, checkpoint: str, available_now: bool = False, **options):
+def answer_stream(net: Network | Prepared, questions: DataFrame, out: str, checkpoint: str, available_now: bool = False, **options):
     """Starts a query that writes each micro-batch's legs to a folder of its own number, so a batch that is run again replaces itself."""
 
+    net = net if isinstance(net, Prepared) else prepare(net)
+
     def answer(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
             plan(net, batch, **options).legs.write.mode("overwrite").parquet(f"{out}/batch={number}")

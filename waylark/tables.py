@@ -5,17 +5,24 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under spark.checkpoint.dir and reads it back, which cuts lineage and survives lost executors."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or in local mode, where it is unset, a temporary folder of this session."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='waylark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/waylark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    return root.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet under spark.checkpoint.dir and reads it back, which cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/waylark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     df.write.parquet(path)
