@@ -67,14 +67,16 @@ class Network:
 
     @property
     def trip_shape(self) -> DataFrame:
-        return self.trips.join(self.shapes.select("shape_idx").distinct().withColumn("found", F.col("shape_idx")), "shape_idx", "left").select("trip_id", F.col("found").alias("shape_idx"))
+        return self.trips.join(self.shapes.select("shape_idx").distinct().withColumn("found", F.col("shape_idx")), "shape_idx",
+            "left").select("trip_id", F.col("found").alias("shape_idx"))
 
     @property
     def transfers_resolved(self) -> DataFrame:
         """Transfers with the ids of their stops, of the trips they are for, if any, and how long they take."""
         out = self.transfers
         for x in ("from", "to"):
-            out = out.join(self.stops.select(F.col("stop_idx").alias(f"{x}_stop_idx"), F.col("stop_id").alias(f"{x}_id"), F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")), f"{x}_stop_idx")
+            out = out.join(self.stops.select(F.col("stop_idx").alias(f"{x}_stop_idx"), F.col("stop_id").alias(f"{x}_id"),
+                F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")), f"{x}_stop_idx")
             out = out.join(self.trips.select(F.col("trip_idx").alias(f"{x}_trip_idx"), F.col("trip_id").alias(f"{x}_trip_id")), f"{x}_trip_idx", "left")
         metres = S.network_distance(*(F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))
         duration = F.coalesce("min_transfer_s", S.walk_seconds(metres)).cast("long").alias("duration_s")
@@ -82,7 +84,8 @@ class Network:
 
     @property
     def stop_times_resolved(self) -> DataFrame:
-        return self.stop_times.join(self.trips.select("trip_idx", "trip_id"), "trip_idx").join(self.stops.select("stop_idx", "stop_id"), "stop_idx").select("trip_id", "stop_id", "pos", "arr", "dep")
+        return self.stop_times.join(self.trips.select("trip_idx", "trip_id"), "trip_idx").join(self.stops.select("stop_idx", "stop_id"),
+            "stop_idx").select("trip_id", "stop_id", "pos", "arr", "dep")
 
     # groupings
     def _list(self, df: DataFrame, key: str, value: str, distinct: bool = False) -> DataFrame:
@@ -149,7 +152,8 @@ class Network:
 
     @property
     def raptor_routes(self) -> DataFrame:
-        return self.timed_trips.withColumn("stops", F.col("calls.stop_idx")).groupBy("route_idx", "stops").agg(F.count("*").alias("n_trips"), F.min_by("trip_idx", "trip_rank").alias("first_trip"))
+        return self.timed_trips.withColumn("stops", F.col("calls.stop_idx")).groupBy("route_idx", "stops").agg(F.count("*").alias("n_trips"),
+            F.min_by("trip_idx", "trip_rank").alias("first_trip"))
 
     @property
     def pattern_stops(self) -> DataFrame:
@@ -159,7 +163,8 @@ class Network:
 
     @property
     def stop_raptors(self) -> DataFrame:
-        return self.pattern_stops.select("stop_idx", "route_idx", "rroute").distinct().groupBy("stop_idx").agg(F.count("*").alias("n_raptors"), F.sort_array(F.collect_set("route_idx")).alias("route_idxs"))
+        return self.pattern_stops.select("stop_idx", "route_idx", "rroute").distinct().groupBy("stop_idx").agg(F.count("*").alias("n_raptors"),
+            F.sort_array(F.collect_set("route_idx")).alias("route_idxs"))
 
     @property
     def route_raptors(self) -> DataFrame:
@@ -197,7 +202,8 @@ class Network:
 
     @property
     def area_centroid(self) -> DataFrame:
-        return self.areas.join(self.area_stops_expanded.groupBy("area_idx").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")), "area_idx", "left").select("area_idx", "area_id", "area_name", "lat", "lon")
+        return self.areas.join(self.area_stops_expanded.groupBy("area_idx").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon")), "area_idx",
+            "left").select("area_idx", "area_id", "area_name", "lat", "lon")
 
     def areas_near(self, points: DataFrame, metres: float = WALK_M) -> DataFrame:
         """Areas of near stops, a row per stop, with the distance of their centroid."""

@@ -37,10 +37,12 @@ def resolve(net: Network, locations: DataFrame, with_trips: DataFrame | None = N
         with_trips = net.stop_times.select("stop_idx").distinct()
     stop = locations.where("kind = 'stop'").join(net.stops.select(F.col("stop_id").alias("id"), "stop_idx", "parent_idx"), "id")
     child = net.stops.select(F.col("parent_idx").alias("station"), F.col("stop_idx").alias("child"))
-    stop = stop.withColumn("station", F.coalesce("parent_idx", "stop_idx")).join(child, "station", "left").select("query_id", F.coalesce("child", "stop_idx").alias("stop_idx"))
+    stop = stop.withColumn("station", F.coalesce("parent_idx", "stop_idx")).join(child, "station", "left").select("query_id",
+        F.coalesce("child", "stop_idx").alias("stop_idx"))
     area = locations.where("kind = 'area'").join(net.areas.select(F.col("area_id").alias("id"), "area_idx"), "id").select("query_id", "area_idx")
     inside = area.join(net.area_stops_expanded.select("area_idx", "stop_idx"), "area_idx").join(with_trips, "stop_idx").select("query_id", "stop_idx")
-    bare = area.join(inside.select("query_id"), "query_id", "left_anti").join(net.area_centroid, "area_idx").where("lat is not null").select("query_id", "lat", "lon")
+    bare = area.join(inside.select("query_id"), "query_id", "left_anti").join(net.area_centroid,
+        "area_idx").where("lat is not null").select("query_id", "lat", "lon")
     at = S.parse_coordinate(F.col("id"))
     points = locations.where("kind = 'coordinate'").select("query_id", at["lat"].alias("lat"), at["lon"].alias("lon")).where("lat is not null")
     near = net.stops_near(points.union(bare), WALK_M).join(with_trips, "stop_idx").select("query_id", "stop_idx")
@@ -49,14 +51,16 @@ def resolve(net: Network, locations: DataFrame, with_trips: DataFrame | None = N
 
 def parse_location(net: Network, texts: DataFrame) -> DataFrame:
     """kind and id of texts (query_id, text): a coordinate if it has a comma, else an area id, else a stop id, else null."""
-    area, stop = net.areas.select(F.col("area_id").alias("text"), F.lit("area").alias("a")), net.stops.select(F.col("stop_id").alias("text"), F.lit("stop").alias("s"))
+    area, stop = net.areas.select(F.col("area_id").alias("text"), F.lit("area").alias("a")), net.stops.select(F.col("stop_id").alias("text"),
+        F.lit("stop").alias("s"))
     kind = F.when(F.contains("text", F.lit(",")), "coordinate").otherwise(F.coalesce("a", "s"))
     return texts.join(area.distinct(), "text", "left").join(stop.distinct(), "text", "left").select("query_id", "text", kind.alias("kind"))
 
 
 def flaws(net: Network, locations: DataFrame) -> DataFrame:
     """query_id and flaw (invalid_stop, invalid_area, invalid_coordinate) of locations (query_id, kind, id) that are none."""
-    stop, area = net.stops.select(F.col("stop_id").alias("id"), F.lit("stop").alias("kind")), net.areas.select(F.col("area_id").alias("id"), F.lit("area").alias("kind"))
+    stop, area = net.stops.select(F.col("stop_id").alias("id"), F.lit("stop").alias("kind")), net.areas.select(F.col("area_id").alias("id"),
+        F.lit("area").alias("kind"))
     known = stop.union(area).distinct().withColumn("known", F.lit(True))
     found = locations.join(known, ["kind", "id"], "left")
     bad = F.when(F.col("kind") == "coordinate", S.parse_coordinate(F.col("id")).isNull()).otherwise(F.col("known").isNull())
@@ -95,10 +99,12 @@ def prepare(net: Network) -> Prepared:
     of = both.groupBy("mode", "rroute", "pos", _bucket(F.col("board")).alias("bucket"))
     of = of.agg(F.min("stop_idx").alias("stop_idx"), F.collect_list(F.struct("board", "trip_rank")).alias("trips"), F.min("trip_rank").alias("least"))
     place = Window.partitionBy("mode", "rroute", "pos").orderBy("bucket")
-    of = of.withColumn("later", F.min("least").over(place.rowsBetween(1, Window.unboundedFollowing))).withColumn("next", F.lead("bucket").over(place)).withColumn("first", F.min("bucket").over(place))
+    of = of.withColumn("later", F.min("least").over(place.rowsBetween(1, Window.unboundedFollowing))).withColumn("next",
+        F.lead("bucket").over(place)).withColumn("first", F.min("bucket").over(place))
     of = staged(of.withColumn("own", F.row_number().over(place)), "boards")
     # half hours without a trip have the trips after them only
-    idle = of.where("next > bucket + 1").select("mode", "rroute", "pos", F.explode(F.expr("sequence(bucket + 1, next - 1)")).alias("bucket"), F.expr("cast(array() as array<struct<board: bigint, trip_rank: bigint>>)").alias("trips"), "later")
+    idle = of.where("next > bucket + 1").select("mode", "rroute", "pos", F.explode(F.expr("sequence(bucket + 1, next - 1)")).alias("bucket"),
+        F.expr("cast(array() as array<struct<board: bigint, trip_rank: bigint>>)").alias("trips"), "later")
     boards = of.select("mode", "rroute", "pos", "bucket", "trips", "later").union(idle)
     places = staged(of.where("own = 1").select("mode", "stop_idx", "rroute", "pos", "first"), "places")
     most = places.groupBy("stop_idx").count().agg(F.max("count")).first()[0] or 1
@@ -151,7 +157,8 @@ def relax_transit(frontier: DataFrame, net: Prepared, few: bool = False) -> Data
 
 def relax_footpaths(reached: DataFrame, edges: DataFrame) -> DataFrame:
     """LABEL and order of what transfers and walks (kind, from_stop_idx, to_stop_idx, duration_s) reach from stops."""
-    on = reached.select("query_id", "mode", F.col("stop_idx").alias("from_stop"), F.col("t").alias("t0")).join(edges.withColumnRenamed("from_stop_idx", "from_stop"), "from_stop")
+    on = reached.select("query_id", "mode", F.col("stop_idx").alias("from_stop"),
+        F.col("t").alias("t0")).join(edges.withColumnRenamed("from_stop_idx", "from_stop"), "from_stop")
     on = on.withColumn("t", F.col("t0") + F.col("duration_s"))
     forward, null = F.col("mode") == "departure", F.lit(None).cast("long")
     return on.select(
@@ -200,12 +207,14 @@ class Plan:
                 way = way.join(labels, ["query_id", "at", "round"], "left")
                 on = F.col("leg").isNotNull()
                 back = F.when(on, F.col("round") - (F.col("leg.kind") == "transit").cast("int")).otherwise(-1)
-                way = way.select("query_id", F.coalesce("from_stop", "at").alias("at"), back.alias("round"), F.when(on, F.concat("path", F.array("leg"))).otherwise(F.col("path")).alias("path"))
+                way = way.select("query_id", F.coalesce("from_stop", "at").alias("at"), back.alias("round"),
+                    F.when(on, F.concat("path", F.array("leg"))).otherwise(F.col("path")).alias("path"))
             way = staged(way, "way-back")
             if way.where("round >= 0").isEmpty():
                 break
         mode = self.queries.select("query_id", (F.col("mode") == "departure").alias("forward"))
-        rows = way.join(mode, "query_id").select("query_id", "forward", F.posexplode(F.when(F.col("forward"), F.reverse("path")).otherwise(F.col("path"))).alias("leg_no", "x"))
+        rows = way.join(mode, "query_id").select("query_id", "forward", F.posexplode(F.when(F.col("forward"),
+            F.reverse("path")).otherwise(F.col("path"))).alias("leg_no", "x"))
         rows = rows.select("query_id", "leg_no", "forward", "x.*")
         swap = lambda a, b: F.when(F.col("forward"), F.col(a)).otherwise(F.col(b))
         return rows.select(
@@ -216,9 +225,11 @@ class Plan:
     def named_legs(self) -> DataFrame:
         """The legs with the ids and names of their ends, their mode, and their trip's head sign and route names; footpaths have none of these."""
         net = self.net
-        of = net.trips.select("trip_idx", "route_idx", "head_sign").join(net.routes, "route_idx").select("trip_idx", "head_sign", "long_name", "short_name", S.mode(F.col("route_type")).alias("of"))
+        of = net.trips.select("trip_idx", "route_idx", "head_sign").join(net.routes, "route_idx").select("trip_idx", "head_sign", "long_name",
+            "short_name", S.mode(F.col("route_type")).alias("of"))
         mode = F.when(F.col("kind") == "transit", F.col("of")).when(F.col("kind") == "walk", "Walk").otherwise("Transfer")
-        ends = [net.stops.select(F.col("stop_idx").alias(f"{x}_stop"), F.col("stop_id").alias(f"{x}_id"), F.col("stop_name").alias(f"{x}_name"), F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")) for x in ("from", "to")]
+        ends = [net.stops.select(F.col("stop_idx").alias(f"{x}_stop"), F.col("stop_id").alias(f"{x}_id"), F.col("stop_name").alias(f"{x}_name"),
+            F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")) for x in ("from", "to")]
         return self.legs.join(of, "trip_idx", "left").join(ends[0], "from_stop").join(ends[1], "to_stop").withColumn("mode", mode).drop("of")
 
     def leg_stops(self, net: Network | None = None) -> DataFrame:
@@ -226,27 +237,36 @@ class Plan:
         net = net or self.net
         calls = net.stop_times.select("trip_idx", "pos", "stop_idx", "arr", "dep", "dist_m")
         found = self.legs.where("kind = 'transit'").join(calls, "trip_idx").where("pos between from_place and to_place")
-        return found.join(net.stops.select("stop_idx", "stop_id", "stop_name", "lat", "lon"), "stop_idx").select("query_id", "leg_no", "pos", "stop_idx", "stop_id", "stop_name", "lat", "lon", "arr", "dep", "dist_m")
+        return found.join(net.stops.select("stop_idx", "stop_id", "stop_name", "lat", "lon"), "stop_idx").select("query_id", "leg_no", "pos",
+            "stop_idx", "stop_id", "stop_name", "lat", "lon", "arr", "dep", "dist_m")
 
     def leg_shapes(self) -> DataFrame:
         """query_id, leg_no, seq, lat, lon, dist_m: the shape of each transit leg's trip."""
         trip = self.legs.where("kind = 'transit'").select("query_id", "leg_no", "trip_idx")
-        return trip.join(self.net.trips.select("trip_idx", "shape_idx"), "trip_idx").join(self.net.shapes, "shape_idx").select("query_id", "leg_no", "seq", "lat", "lon", "dist_m")
+        return trip.join(self.net.trips.select("trip_idx", "shape_idx"), "trip_idx").join(self.net.shapes, "shape_idx").select("query_id", "leg_no",
+            "seq", "lat", "lon", "dist_m")
 
     def itineraries(self, shapes: bool = False) -> DataFrame:
         """query_id, from, to (kind, id, name, lat, lon), departure_s, arrival_s, n_legs, and legs in order: each with its ends, times,
         stops, mode, head sign and names, and with `shapes` the points of its trip's shape, else null."""
-        place = lambda x, kind="stop": F.struct(F.lit(kind).alias("kind"), F.col(f"{x}id").alias("id"), F.col(f"{x}name").alias("name"), F.col(f"{x}lat").alias("lat"), F.col(f"{x}lon").alias("lon"))
-        call = F.struct("pos", place("stop_").alias("location"), F.col("arr").alias("arrival_s"), F.col("dep").alias("departure_s"), F.col("dist_m").alias("distance_m"))
-        stops = self.leg_stops().withColumnsRenamed({"lat": "stop_lat", "lon": "stop_lon"}).groupBy("query_id", "leg_no").agg(F.sort_array(F.collect_list(call)).alias("stops"))
+        place = lambda x, kind="stop": F.struct(F.lit(kind).alias("kind"), F.col(f"{x}id").alias("id"), F.col(f"{x}name").alias("name"),
+            F.col(f"{x}lat").alias("lat"), F.col(f"{x}lon").alias("lon"))
+        call = F.struct("pos", place("stop_").alias("location"), F.col("arr").alias("arrival_s"), F.col("dep").alias("departure_s"),
+            F.col("dist_m").alias("distance_m"))
+        stops = self.leg_stops().withColumnsRenamed({"lat": "stop_lat", "lon": "stop_lon"}).groupBy("query_id",
+            "leg_no").agg(F.sort_array(F.collect_list(call)).alias("stops"))
         rows = self.named_legs().join(stops, ["query_id", "leg_no"], "left")
         if shapes:
             point = F.struct("seq", "lat", "lon", "dist_m")
-            rows = rows.join(self.leg_shapes().groupBy("query_id", "leg_no").agg(F.sort_array(F.collect_list(point)).alias("shapes")), ["query_id", "leg_no"], "left")
+            rows = rows.join(self.leg_shapes().groupBy("query_id", "leg_no").agg(F.sort_array(F.collect_list(point)).alias("shapes")),
+                ["query_id", "leg_no"], "left")
         else:
             rows = rows.withColumn("shapes", F.lit(None).cast("array<struct<seq: bigint, lat: double, lon: double, dist_m: double>>"))
-        leg = F.struct("leg_no", place("from_").alias("from"), place("to_").alias("to"), F.col("dep_s").alias("departure_s"), F.col("arr_s").alias("arrival_s"), F.coalesce("stops", F.array()).alias("stops"), "mode", "head_sign", "long_name", "short_name", "shapes", "kind", "trip_idx")
-        of = rows.groupBy("query_id").agg(F.min_by("dep_s", "leg_no").alias("departure_s"), F.max_by("arr_s", "leg_no").alias("arrival_s"), F.count("*").alias("n_legs"), F.sort_array(F.collect_list(leg)).alias("legs"))
+        leg = F.struct("leg_no", place("from_").alias("from"), place("to_").alias("to"), F.col("dep_s").alias("departure_s"),
+            F.col("arr_s").alias("arrival_s"), F.coalesce("stops", F.array()).alias("stops"), "mode", "head_sign", "long_name", "short_name",
+            "shapes", "kind", "trip_idx")
+        of = rows.groupBy("query_id").agg(F.min_by("dep_s", "leg_no").alias("departure_s"), F.max_by("arr_s", "leg_no").alias("arrival_s"),
+            F.count("*").alias("n_legs"), F.sort_array(F.collect_list(leg)).alias("legs"))
         ends = self.ends()
         for x in ("from", "to"):
             of = of.join(ends.where(F.col("end") == x).select("query_id", F.struct("kind", "id", "name", "lat", "lon").alias(x)), "query_id")
@@ -262,14 +282,17 @@ class Plan:
         known = stop.union(net.area_centroid.select("area_id", F.lit("area"), "area_name", "lat", "lon"))
         named = rows.where("kind <> 'coordinate'").join(known, ["kind", "id"]).select("query_id", "end", "kind", "id", "name", "lat", "lon")
         shown = S.show_coordinate(at["lat"], at["lon"])
-        return named.union(rows.where("kind = 'coordinate'").select("query_id", "end", "kind", shown.alias("id"), shown.alias("name"), at["lat"].alias("lat"), at["lon"].alias("lon")))
+        return named.union(rows.where("kind = 'coordinate'").select("query_id", "end", "kind", shown.alias("id"), shown.alias("name"),
+            at["lat"].alias("lat"), at["lon"].alias("lon")))
 
     def status(self) -> DataFrame:
         """query_id and ok, no_route, or what is wrong with a location, that of `from` first (invalid_stop, invalid_area,
         invalid_coordinate); nothing is raised for a question without a route."""
         q = self.queries
-        own = lambda x: flaws(self.net, q.select("query_id", F.col(f"{x}_kind").alias("kind"), F.col(f"{x}_id").alias("id"))).withColumnRenamed("flaw", x)
-        out = q.select("query_id").join(self.best.select("query_id", F.lit("ok").alias("found")), "query_id", "left").join(own("from"), "query_id", "left").join(own("to"), "query_id", "left")
+        own = lambda x: flaws(self.net, q.select("query_id", F.col(f"{x}_kind").alias("kind"),
+            F.col(f"{x}_id").alias("id"))).withColumnRenamed("flaw", x)
+        out = q.select("query_id").join(self.best.select("query_id", F.lit("ok").alias("found")), "query_id", "left").join(own("from"), "query_id",
+            "left").join(own("to"), "query_id", "left")
         return out.select("query_id", F.coalesce("found", "from", "to", F.lit("no_route")).alias("status"))
 
 
@@ -281,8 +304,10 @@ def footpaths(net: Network, allow_walk: bool = True) -> DataFrame:
 def seeds(net: Network, queries: DataFrame, with_trips: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Frontier (query_id, mode, stop_idx, t) and targets (query_id, stop_idx): arrival questions start at their destination."""
     forward = F.col("mode") == "departure"
-    ends = lambda own, other: queries.select("query_id", F.when(forward, F.col(f"{own}_kind")).otherwise(F.col(f"{other}_kind")).alias("kind"), F.when(forward, F.col(f"{own}_id")).otherwise(F.col(f"{other}_id")).alias("id"))
-    start = resolve(net, ends("from", "to"), with_trips).join(queries.select("query_id", "mode", F.when(forward, F.col("time_s")).otherwise(-F.col("time_s")).cast("long").alias("t")), "query_id")
+    ends = lambda own, other: queries.select("query_id", F.when(forward, F.col(f"{own}_kind")).otherwise(F.col(f"{other}_kind")).alias("kind"),
+        F.when(forward, F.col(f"{own}_id")).otherwise(F.col(f"{other}_id")).alias("id"))
+    start = resolve(net, ends("from", "to"), with_trips).join(queries.select("query_id", "mode", F.when(forward,
+        F.col("time_s")).otherwise(-F.col("time_s")).cast("long").alias("t")), "query_id")
     return start.select("query_id", "mode", "stop_idx", "t"), resolve(net, ends("to", "from"), with_trips)
 
 

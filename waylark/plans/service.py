@@ -61,7 +61,8 @@ def route(net: Network | Prepared, requests: DataFrame) -> DataFrame:
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast(kind))
     mode, time_s, bad_time = _times(requests)
-    asked = requests.select("query_id", "from", "to", F.coalesce("allow_walk", F.lit(True)).alias("allow_walk"), F.coalesce("shapes", F.lit(False)).alias("shapes"), mode.alias("mode"), time_s.alias("time_s"), bad_time.alias("bad_time"))
+    asked = requests.select("query_id", "from", "to", F.coalesce("allow_walk", F.lit(True)).alias("allow_walk"),
+        F.coalesce("shapes", F.lit(False)).alias("shapes"), mode.alias("mode"), time_s.alias("time_s"), bad_time.alias("bad_time"))
     for end in ("from", "to"):
         kind = parse_location(net.net, asked.where(F.col(end).isNotNull()).select("query_id", F.col(end).alias("text")))
         ok = (F.col("kind") != "coordinate") | S.parse_coordinate(F.col("text")).isNotNull()
@@ -69,7 +70,8 @@ def route(net: Network | Prepared, requests: DataFrame) -> DataFrame:
     missing = F.col("from").isNull() | F.col("to").isNull()
     flaw = F.when(missing, "missing_location").when(F.col("from_kind").isNull() | F.col("to_kind").isNull(), "unknown_location").when(F.col("bad_time"), "bad_time")
     asked = asked.withColumn("flaw", flaw)
-    questions = asked.where("flaw is null").select("query_id", "from_kind", F.col("from").alias("from_id"), "to_kind", F.col("to").alias("to_id"), "mode", "time_s", "allow_walk", "shapes")
+    questions = asked.where("flaw is null").select("query_id", "from_kind", F.col("from").alias("from_id"), "to_kind", F.col("to").alias("to_id"),
+        "mode", "time_s", "allow_walk", "shapes")
     found = None
     for walk in (True, False):
         own = questions.where(F.col("allow_walk") == walk)

@@ -171,7 +171,8 @@ class Feed:
         """The feed as a network. Surrogate keys are 64-bit hashes of the ids, which needs no global order. strict: a dangling key is an error, else its rows go."""
         numbered = lambda df, key, idx: df.select(key, F.xxhash64(key).alias(idx)).where(F.col(key).isNotNull()).distinct()
         raw = {f.name: self.scan(f.name) for f in fields(Config) if f.name != "agency"}
-        s, a, r, t, h = (numbered(raw[n], k, i) for n, k, i in (("stops", "stop_id", "stop_idx"), ("areas", "area_id", "area_idx"), ("routes", "route_id", "route_idx"), ("trips", "trip_id", "trip_idx"), ("shapes", "shape_id", "shape_idx")))
+        s, a, r, t, h = (numbered(raw[n], k, i) for n, k, i in (("stops", "stop_id", "stop_idx"), ("areas", "area_id", "area_idx"), ("routes",
+            "route_id", "route_idx"), ("trips", "trip_id", "trip_idx"), ("shapes", "shape_id", "shape_idx")))
         how = "left" if strict else "inner"
         parent = s.select(F.col("stop_id").alias("parent_station"), F.col("stop_idx").alias("parent_idx"))
         trips = raw["trips"].join(t, "trip_id").join(r, "route_id", how).join(h, "shape_id", "left")
@@ -196,7 +197,8 @@ class Feed:
         if not strict:
             return net
         with told_rows():
-            for name, key in (("trips", "route_idx"), ("stop_areas", "area_idx"), ("stop_areas", "stop_idx"), ("stop_times", "trip_idx"), ("stop_times", "stop_idx"), ("transfers", "from_stop_idx"), ("transfers", "to_stop_idx")):
+            for name, key in (("trips", "route_idx"), ("stop_areas", "area_idx"), ("stop_areas", "stop_idx"), ("stop_times", "trip_idx"),
+                ("stop_times", "stop_idx"), ("transfers", "from_stop_idx"), ("transfers", "to_stop_idx")):
                 if not getattr(net, name).where(F.col(key).isNull()).isEmpty():
                     raise DanglingKey(f"{name}: a dangling {key}")
             if not transfers.where(lost).isEmpty():
