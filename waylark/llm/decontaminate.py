@@ -66,7 +66,8 @@ def _fingerprints(short: tuple[int, ...], window: int, k: int, item: bool):
                     found.append((-m, g, rows, at))
                 for kind, g, rows, at in found:
                     keys = [part.column(h).take(pa.array(rows)) for h in ("h1", "h2")]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int64)), pa.array(np.full(len(g), kind, np.int32)), signed(g)], ["h1", "h2", "at", "kind", "print"])
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(at.astype(np.int64)), pa.array(np.full(len(g), kind, np.int32)), signed(g)],
+                        ["h1", "h2", "at", "kind", "print"])
 
     return run
 
@@ -101,7 +102,8 @@ def _windows(window: int, k: int):
                     part = wanted[i : i + 10_000]
                     xs = pa.array([b" ".join(w[a : a + m]) for a, m in part], pa.binary())
                     keys = [pa.array([batch.column(h)[row].as_py()] * len(part), pa.int64()) for h in ("h1", "h2")]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([a for a, _ in part], pa.int64()), pa.array([m for _, m in part], pa.int32()), xs], ["h1", "h2", "at", "m", "x"])
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array([a for a, _ in part], pa.int64()), pa.array([m for _, m in part], pa.int32()),
+                        xs], ["h1", "h2", "at", "m", "x"])
 
     return run
 
@@ -154,7 +156,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     met = staged(met.groupBy("h1", "h2", "class").agg(F.min(F.struct("m", "x")).alias("window")), "classes-met")
     of_text = staged(met.groupBy("h1", "h2").agg(F.struct(*(c.alias(f"s{i}") for i, c in enumerate(two("class")))).alias("set")), "sets-of-classes")
     one = of_text.groupBy("set").agg(F.min(F.struct("h1", "h2")).alias("of"))  # a text stands for its set of classes
-    listed = met.join(one.select("set", "of.h1", "of.h2"), ["h1", "h2"]).select("set", "window.m", "window.x").join(known, ["m", "x"]).select("set", "item_id").distinct()
+    listed = met.join(one.select("set", "of.h1", "of.h2"), ["h1", "h2"]).select("set", "window.m", "window.x").join(known, ["m", "x"]).select("set",
+        "item_id").distinct()
     listed = listed.repartition("set").sortWithinPartitions("set", "item_id")
     told = listed.mapInArrow(_listed, "s0 long, s1 long, s2 long, n_items long, items_sha256 string")
     told = of_text.select("h1", "h2", "set.*").join(told, ["s0", "s1", "s2"]).select("h1", "h2", "n_items", "items_sha256")
@@ -165,12 +168,14 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K
     out = counted.join(facts, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     none = hashlib.sha256(b"").hexdigest()
-    return out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select("doc_id", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(none)).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(word_counts(batch.column("text"), SYMBOL))], ["doc_id", "h1", "h2", "n_words"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "h1", "h2")), pa.array(word_counts(batch.column("text"), SYMBOL))],
+            ["doc_id", "h1", "h2", "n_words"])
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +183,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own, n, sha = None, 0, hashlib.sha256()
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*own, n)] + [pa.array([sha.hexdigest()])], ["s0", "s1", "s2", "n_items", "items_sha256"])
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (*own, n)] + [pa.array([sha.hexdigest()])],
+            ["s0", "s1", "s2", "n_items", "items_sha256"])
 
     for batch in batches:
         for s, item in zip(batch.column("set").to_pylist(), batch.column("item_id").to_pylist(), strict=True):

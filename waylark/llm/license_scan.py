@@ -124,7 +124,8 @@ def _verify(base: Sequence[tuple[str, str]], notices: Sequence[tuple[str, str]])
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.int64())
             cols = list(zip(*out, strict=True)) or [()] * len(kinds)
             told = [pa.array(list(x), k) for x, k in zip(cols, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(word_counts(batch.column("text"), SYMBOL)), *told], ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_notices"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(word_counts(batch.column("text"), SYMBOL)), *told],
+                ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_notices"])
 
     return run
 
@@ -137,7 +138,8 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, notices: Seque
     places = F.broadcast(template_places(spark, base, notices))  # as many rows as the templates given have words
     hits = docs.select("h1", "h2", "text").mapInArrow(_hits, "h1 long, h2 long, place long, gram long").join(places, "gram")
     # a text has a diagonal per place at most; what is gathered by text are the spans that got their votes
-    diagonals = hits.groupBy("h1", "h2", "template", (F.col("place") - F.col("t_place")).alias("diagonal")).agg(F.countDistinct("t_place").alias("votes"), F.max("need").alias("need"))
+    diagonals = hits.groupBy("h1", "h2", "template",
+        (F.col("place") - F.col("t_place")).alias("diagonal")).agg(F.countDistinct("t_place").alias("votes"), F.max("need").alias("need"))
     near = [F.struct((F.col("diagonal") + d).alias("at"), F.lit(d == 0).alias("own")) for d in range(-APART, APART + 1)]
     merged = diagonals.withColumn("x", F.explode(F.array(*near))).groupBy("h1", "h2", "template", F.col("x.at").alias("at"))
     merged = merged.agg(F.sum("votes").alias("votes"), F.max("need").alias("need"), F.max("x.own").alias("own")).where("own and votes >= need")
@@ -146,7 +148,8 @@ def scan(docs: DataFrame, base: Sequence[tuple[str, str]] = BASE, notices: Seque
     few = spans.agg(F.count("*").alias("n"), F.sum(F.size("spans")).alias("s")).first()
     spans = F.broadcast(spans) if few["n"] <= BROADCAST_MOST and (few["s"] or 0) <= 10 * BROADCAST_MOST else spans
     found = docs.join(spans, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "text", "spans")
-    return found.mapInArrow(_verify(base, notices), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_notices long")
+    return found.mapInArrow(_verify(base, notices),
+        "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_notices long")
 
 
 @settled

@@ -33,7 +33,8 @@ PART_ROWS, SPLIT, CUT_ROWS = 500_000, 1024, 20_000
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "text_hash", "row")), pa.array(word_counts(batch.column("text"), SPACE))], ["doc_id", "source", "text_hash", "row", "size"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "source", "text_hash", "row")),
+            pa.array(word_counts(batch.column("text"), SPACE))], ["doc_id", "source", "text_hash", "row", "size"])
 
 
 def _queue(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +69,8 @@ def targets(sizes: dict, weights: Sequence[int], repeats: int, share: float = 1.
     return out
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, seed: str = "mix", share: float = 1.0, max_sources: int = 100_000, latest: float = 2.0, row_id: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: int = 3, seed: str = "mix", share: float = 1.0,
+    max_sources: int = 100_000, latest: float = 2.0, row_id: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken of every document, and row_id, if it names a column that tells rows apart.
 
     Only a row per source, of which more than max_sources are an error, a row per partition of the queues, and SPLIT sums a step come
@@ -77,7 +79,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: in
     spark = docs.sparkSession
     small_batches(spark)
     row = F.monotonically_increasing_id() if row_id is None else F.col(row_id)
-    sized = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"), row.alias("row")).mapInArrow(_sizes, "doc_id long, source string, text_hash long, row long, size long")
+    sized = docs.select("doc_id", "source", "text", F.xxhash64("text").alias("text_hash"), row.alias("row")).mapInArrow(_sizes,
+        "doc_id long, source string, text_hash long, row long, size long")
     key = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
     base = staged(sized.withColumn("key", key), "mix-sizes")
     per = base.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(max_sources + 1).collect()
@@ -91,7 +94,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: in
 
     by = ["source_no", "key", "doc_id", "size", "text_hash", "row"]
     parts = max(1, sum(r["n"] for r in per) // PART_ROWS)
-    queues = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_queue, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part int, run long")
+    queues = rows.repartitionByRange(parts, *by).sortWithinPartitions(*by).mapInArrow(_queue,
+        ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", part int, run long")
     queues = staged(queues, "mix-queues")
     sums = queues.groupBy("source_no", "part").agg(F.max("run").alias("n")).orderBy("source_no", "part").collect()
     before, told = {}, []
@@ -103,7 +107,8 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), repeats: in
 
     budget = int(sum(Fraction(r["s"]) for r in per) * Fraction(share))
     finish = lambda e: F.try_divide(F.lit(e) * F.col("source_size") + F.col("queued"), "target")
-    entries = rows.where("size > 0 and target > 0").select("doc_id", "size", "source_no", "key", F.explode(F.array(*(F.struct(F.lit(e).alias("e"), finish(e).alias("f")) for e in range(repeats)))).alias("x"))
+    entries = rows.where("size > 0 and target > 0").select("doc_id", "size", "source_no", "key",
+        F.explode(F.array(*(F.struct(F.lit(e).alias("e"), finish(e).alias("f")) for e in range(repeats)))).alias("x"))
     entries = entries.select("doc_id", "size", "source_no", "key", "x.e", "x.f").where(F.col("f") <= latest)
     last = ["f", "source_no", "key", "doc_id", "size", "e"]
     found = cut(entries, budget, last)

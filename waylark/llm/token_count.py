@@ -120,7 +120,8 @@ def count_tokens(docs: DataFrame, pieces: list[tuple[str, float]]) -> DataFrame:
         for batch in batches:
             for part in blocks(batch, "text"):
                 split = [_words(t or "") for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([sum(map(of, w)) for w in split], pa.int64()), pa.array([len(w) for w in split], pa.int64())], ["doc_id", "n_tokens", "n_words"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([sum(map(of, w)) for w in split], pa.int64()),
+                    pa.array([len(w) for w in split], pa.int64())], ["doc_id", "n_tokens", "n_words"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_words long")
 

@@ -88,7 +88,8 @@ def merged(branch: DataFrame, z: float) -> DataFrame:
     told = branch.where("level > 0 and l > 0").withColumn("up", up)
     kids = told.groupBy("up").agg(F.count("*").alias("kids"))
     both = join_facts(told, staged(parent.join(kids, "up"), "parents"), "up", "kids", "inner")
-    off = staged(both.where(apart(F.col("l"), F.col("b"), F.col("l_all"), F.col("b_all"), z)).withColumn("mark", F.when(F.col("b") * F.col("l_all") > F.col("b_all") * F.col("l"), "+").otherwise("-")), "apart")
+    off = staged(both.where(apart(F.col("l"), F.col("b"), F.col("l_all"), F.col("b_all"), z)).withColumn("mark",
+        F.when(F.col("b") * F.col("l_all") > F.col("b_all") * F.col("l"), "+").otherwise("-")), "apart")
     side = F.concat("up", F.lit("/~"), "mark")
     pools = off.groupBy(side.alias("side")).agg(F.sum("l").alias("l_side"), F.sum("b").alias("b_side"), F.count("*").alias("kids"))
     pooled = join_facts(off.withColumn("side", side), staged(pools, "sides"), "side", "kids", "inner")
@@ -102,24 +103,29 @@ def templates(leaves: DataFrame, most_children: int, share: float, z: float, wei
     of = staged(tree.groupBy("host", "place").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.count("*").alias("leaves")), "grown")
     # branches that are alike merge, all levels at once; sums go by hash, as a parent may have many branches
     steps = F.split("place", "/")
-    within = of.select("place", "labelled", "bad", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda j: F.array_join(F.slice(steps, F.lit(1), j), "/"))).alias("level", "node"))
+    within = of.select("place", "labelled", "bad", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda j: F.array_join(F.slice(steps,
+        F.lit(1), j), "/"))).alias("level", "node"))
     branch = staged(within.groupBy("node", "level").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.count("*").alias("n")), "sums")
     found = join_facts(within.select("place", "level", "node"), merged(branch, z), "node", "n", "inner")
     levels = found.groupBy("place").agg(F.map_from_entries(F.collect_set(F.struct("level", F.coalesce("mark", F.lit("")).alias("mark")))).alias("marks"))
-    step = lambda s, i: F.when((i == 0) | (F.element_at("marks", i) == ""), s).otherwise(F.concat(F.lit("~"), F.coalesce(F.element_at("marks", i), F.lit(""))))
+    step = lambda s, i: F.when((i == 0) | (F.element_at("marks", i) == ""),
+        s).otherwise(F.concat(F.lit("~"), F.coalesce(F.element_at("marks", i), F.lit(""))))
     template = F.concat_ws("/", F.transform(steps, step))
-    of = staged(of.join(levels, "place", "left").withColumn("marks", F.coalesce("marks", F.expr("cast(map() as map<int, string>)"))).select("host", "place", "leaves", "labelled", "bad", template.alias("template")), "branches")
+    of = staged(of.join(levels, "place", "left").withColumn("marks", F.coalesce("marks", F.expr("cast(map() as map<int, string>)"))).select("host",
+        "place", "leaves", "labelled", "bad", template.alias("template")), "branches")
     total = of.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"), F.count("*").alias("places"))
     hosts = of.groupBy("host").agg(F.sum("labelled").alias("hl"), F.sum("bad").alias("hb"), F.count_distinct("template").alias("templates"))
     all_ = hosts.agg(F.sum("hl").alias("gl"), F.sum("hb").alias("gb"))  # one row
     prior = (F.col("hb") + weight * F.coalesce((F.col("gb") + 1) / (F.col("gl") + 2), F.lit(0.5))) / (F.col("hl") + weight)
     hosts = staged(hosts.join(F.broadcast(all_)).select("host", "templates", prior.alias("prior")), "hosts")
-    told = join_facts(total, hosts, "host", "templates", "inner").select("template", "places", ((F.col("b") + weight * F.col("prior")) / (F.col("l") + weight)).alias("purity"))
+    told = join_facts(total, hosts, "host", "templates", "inner").select("template", "places",
+        ((F.col("b") + weight * F.col("prior")) / (F.col("l") + weight)).alias("purity"))
     told = join_facts(of.select("place", "leaves", "template"), staged(told, "purities"), "template", "places", "inner")
     return join_facts(tree, staged(told, "templates"), "place", "leaves", "inner").select("leaf", "n", "template", "purity")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject: float = 0.5, most_children: int = 8, share: float = 0.05, z: float = 1.96, weight: float = 10.0) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, reject: float = 0.5, most_children: int = 8,
+    share: float = 0.05, z: float = 1.96, weight: float = 10.0) -> DataFrame:
     """page_id, host, path, rule, verdict, template_share of every page. labels: page_id, bad (boolean)."""
     host, path = host_and_path(F.col("url"))
     parts = segments(F.col("path"))
@@ -127,7 +133,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     bad = labels.where("page_id is not null").groupBy(F.col("page_id").alias("labelled_id")).agg(F.max(F.coalesce("bad", F.lit(False)).cast("int")).alias("bad"))
     seen = rows.where("page_id is not null").join(bad, F.col("page_id") == F.col("labelled_id"), "left").drop("labelled_id")
     seen = seen.union(rows.where("page_id is null").withColumn("bad", F.lit(None).cast("int")))
-    leaves = seen.groupBy("leaf", "host", parts.alias("parts")).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    leaves = seen.groupBy("leaf", "host", parts.alias("parts")).agg(F.count("*").alias("n"), F.count("bad").alias("labelled"),
+        F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     blocked = templates(staged(leaves, "leaves"), most_children, share, z, weight).where(F.col("purity") >= reject)
     blocked = staged(blocked.select("leaf", "n", F.col("purity").alias("template_share")), "blocked")
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)

@@ -123,7 +123,8 @@ def write(pages: DataFrame) -> DataFrame:
     rows = kept_payloads(pages)
     # a record's chunks are cut from its payload at once and follow it, so its task writes them one after the other
     last = F.when(F.col("keep").isNull(), F.greatest(F.lit(0).cast("long"), F.expr(f"(size - 1) div {CHUNK}"))).otherwise(0).cast("int")
-    part = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_no"), (i == last).alias("last"), F.when(F.col("keep").isNull(), F.substring("raw", i * CHUNK + 1, F.lit(CHUNK))).alias("data")))
+    part = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_no"), (i == last).alias("last"), F.when(F.col("keep").isNull(),
+        F.substring("raw", i * CHUNK + 1, F.lit(CHUNK))).alias("data")))
     chunks = rows.select("page_id", "url", "digest", "size", "keep", F.explode(part).alias("x")).select("page_id", "url", "digest", "size", "keep", "x.*")
     return staged(chunks.mapInArrow(_write(new_path(spark, "warc")), "archive string, records long"), "manifest")
 
@@ -178,7 +179,8 @@ def _rows(archive: str, with_data: bool) -> Iterator[tuple]:
                     if line.lower().startswith(b"content-length:"):
                         told = int(line.partition(b":")[2])
             page, refers = head.get("x-page-id", "-"), head.get("x-refers-to-page-id")
-            known = (archive, no, head.get("warc-record-id"), head.get("warc-target-uri"), None if page == "-" else int(page), kind, refers and int(refers), head.get("warc-refers-to"))
+            known = (archive, no, head.get("warc-record-id"), head.get("warc-target-uri"), None if page == "-" else int(page), kind,
+                refers and int(refers), head.get("warc-refers-to"))
             if kind == "revisit":
                 yield *known, 0, True, told, _sha1(head.get("warc-payload-digest", "")), None
             sha, size, chunk = hashlib.sha1(), 0, 0
