@@ -16,9 +16,13 @@ The order may be any order for the result to be whole; it only keeps lists short
 top half of their hash), those found HOT_LEAST times come after the others, by the power of two of their count, and at most HOT_MOST
 of the commonest are told apart, which bounds what is broadcast.
 
+Sets are told apart by 128 bits. Groups have 64: groups that share an id by chance are compared as one, which only adds pairs to verify.
+
 Defined results: a null or empty text has an empty set, is linked with nothing and is a class of its own; texts of fewer words than
-a shingle have their whole sequence as one; rows that repeat a doc_id are each linked by their own text; a null doc_id never gives a
-class its id while another member has one. Columns other than doc_id and text are carried along by `keep_one`.
+a shingle have their whole sequence as one; very long texts are read in whole, in pieces, and their sets held one at a time; rows that
+repeat a doc_id are each linked by their own text; a null doc_id never gives a class its id while another member has one; an empty
+table gives no rows. Ties of the order of shingles go by hash, which no result depends on. Columns other than doc_id and text are
+carried along by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from waylark.llm.common import SPACE, blocks, digests, grams, mix, row_grams, rows_of, signed, small_batches, staged, word_hashes
+from waylark.llm.common import SPACE, blocks, digests, grams, mix, row_grams, settled, signed, small_batches, staged, unused, word_hashes
 
 WORDS = 5
 HOT_LEAST = 16
@@ -79,7 +83,7 @@ def _prefixes(hot):
     """Per row: n_shingles, set_id, group_id, and the prefix in order, the last only at the group's first row in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (common, power), seen = hot.value, set()
+        (common, power), seen = hot.value, {}
         for batch in batches:
             for part in blocks(batch, "text"):
                 sets = shingle_sets(part.column("text"))
@@ -102,9 +106,9 @@ def _prefixes(hot):
                     a, b = _two(prefix)
                     group[i] = mix(np.array([a ^ (b >> 1) ^ (len(s) << 20)], np.uint64))[0]
                     key = int(group[i])
-                    prefixes.append(None if key in seen else prefix.view(np.int64))
-                    seen.add(key)
-                    if len(seen) > 1_000_000:
+                    prefixes.append(None if seen.get(key) == b else prefix.view(np.int64))  # another prefix of the same id is told too
+                    seen[key] = b
+                    if len(seen) > 500_000:
                         seen.clear()
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), digests(high, low), signed(group), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_id", "group_id", "prefix"])
 
@@ -197,7 +201,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = staged(told.groupBy("set_id").agg(F.min("doc_id").alias("doc"), F.min("group_id").alias("group_id"), F.min("n_shingles").cast("int").alias("n")), "sets")
 
     lists = told.where("prefix is not null").select(F.col("n_shingles").cast("int").alias("n"), "group_id", F.posexplode("prefix").alias("place", "shingle"))
-    lists = lists.select("shingle", "n", "group_id", "place").repartition("shingle").sortWithinPartitions("shingle", "n", "group_id")
+    lists = lists.select("shingle", "n", "group_id", "place").repartition("shingle").sortWithinPartitions("shingle", "n", "group_id", "place")
     lists = staged(lists.mapInArrow(_shared, "shingle long, n int, group_id long, place int, before_id long, before_n int"), "lists")
 
     # 1. chains and stars: neighbours in a shingle's list and its heaviest group, by their groups' first sets; members of a group
@@ -262,38 +266,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _one_of(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """One row of each key; of rows that differ, that with the least hash."""
+    (row,) = unused(rows, "row")
     by = F.xxhash64(*(F.col(c).cast("string") for c in columns))
-    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), by).alias("__row")).select("__row.*")
+    return rows.groupBy(key).agg(F.min_by(F.struct(*columns), by).alias(row)).select(f"{row}.*")
 
 
-def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_sets(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """The rows, with the id of each one's set, null if it is empty."""
     for batch in batches:
         for part in blocks(batch, "text"):
             two = [_two(x) if len(x) else None for x in shingle_sets(part.column("text"))]
-            yield part.append_column("__set", pa.array([None if x is None else np.array(x, ">u8").tobytes() for x in two], pa.binary()))
+            yield part.append_column(name, pa.array([None if x is None else np.array(x, ">u8").tobytes() for x in two], pa.binary()))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with its smallest doc_id, with all its columns; of rows that repeat that id, one.
+    """One document of each class, that with its smallest doc_id, with all its columns; of rows that repeat that id, one of the class.
 
     A null doc_id stays only in classes that have no other, and there once. Rows with empty sets are classes of their own, and stay.
     """
     each, of = classes(docs)
-    told = each.join(of, "set_id", "left").where("n_shingles = 0 or doc_id <=> component_id")
-    kept = staged(told.where("doc_id is not null").groupBy(F.col("doc_id").alias("__keep")).agg(F.count("*").alias("__n")), "kept")
-    rows = docs.join(kept, F.col("doc_id") == F.col("__keep")).drop("__keep")
-    out = rows.where("__n = 1").drop("__n")
-    if not kept.where("__n > 1").isEmpty():
-        out = out.union(_one_of(rows.where("__n > 1").drop("__n"), "doc_id", docs.columns))
-    lost = told.where("doc_id is null")
-    if not lost.isEmpty():
-        alone = staged(lost.where("n_shingles > 0").groupBy("root").agg(F.min("set_id").alias("__alone")).select("__alone"), "kept-lost")
-        found = docs.where("doc_id is null").mapInArrow(_with_sets, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
-        once = found.join(alone, F.col("__set") == F.col("__alone"), "left_semi")
-        out = out.union(found.where("__set is null").drop("__set")).union(_one_of(once, "__set", docs.columns))
-    return out
-
-
+    told = each.join(of, "set_id", "left")
+    keep, of_set, own = unused(docs, "keep", "kept_set", "own_set")
+    # of each class the row that stays, by id and set; ids that stand on one row only need no look at its set
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_id"))
+    stays = staged(told.where("n_shingles > 0").groupBy("root").agg(least.alias("x")).select("x.doc_id", "x.set_id"), "kept")
+    again = staged(each.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    by_id = stays.where("doc_id is not null").select("doc_id").union(each.where("n_shingles = 0 and doc_id is not null").select("doc_id"))
+    once = staged(by_id.join(again, "doc_id", "left_anti").select(F.col("doc_id").alias(keep)), "kept-once")
+    out = docs.join(once, F.col("doc_id") == F.col(keep), "left_semi")
+    if again.isEmpty() and each.where("doc_id is null").isEmpty():
+        return out
+    unsure = docs.where("doc_id is null").union(docs.join(again.select(F.col("doc_id").alias(keep)), F.col("doc_id") == F.col(keep), "left_semi"))
+    found = unsure.mapInArrow(lambda batches: _with_sets(batches, own), StructType([*docs.schema.fields, StructField(own, BinaryType())]))
+    found = staged(found, "kept-unsure")
+    chosen = stays.select(F.col("doc_id").alias(keep), F.col("set_id").alias(of_set))
+    alone = found.join(chosen, (F.col(own) == F.col(of_set)) & F.col("doc_id").eqNullSafe(F.col(keep)), "left_semi")
+    return out.union(found.where(F.col(own).isNull()).drop(own)).union(_one_of(alone, own, docs.columns))
+
+
+@settled
 def op2_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
