@@ -3,11 +3,13 @@
 Each word gets a score per language from hashed letter trigrams and four-grams (smoothed log likelihoods, learned from labelled
 rows). The script of the word, by Unicode range, narrows the languages to those seen in that script. A Viterbi pass over the words
 then labels spans, a change of language costing `penalty`. Where no other language gains more than half the penalty on any run of
-words, the path of one language is the best one; that is tested first, and only other texts go through the full recursion.
+words, the path of one language is the best one; that is tested first, and only other texts go through the full recursion. Words that
+repeat in a block of texts are scored once.
 
 Defined results: a null or empty text, or one with no letter, is `und` with score 0 and no spans, as is every text if nothing was
-labelled. Ties go to the language first by code point. Repeated rows each get their result. Columns other than doc_id and text
-take no part in a prediction.
+labelled. Ties go to the language first by code point. Repeated rows each get their result; very long texts are one block each; an
+empty table gives no rows. Columns other than doc_id and text take no part in a prediction; `keep_identified` carries them along,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waylark.llm.common import BLOCK, blocks, mix, small_batches
+from waylark.llm.common import BLOCK, blocks, mix, settled, small_batches
 
 BITS = 16
 #: First and last code point of scripts; 0 is any other, 1 Latin.
@@ -45,30 +47,56 @@ def _code_points() -> tuple[np.ndarray, np.ndarray]:
     return _tables
 
 
-def features(texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Of all letters of all texts: trigram and four-gram buckets; then words: first letter, text, script."""
+def letters_of(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """The letters of all texts, in lower case; then words: first letter, text, script."""
     letter, script = _code_points()
     low = [(t or "").lower() for t in texts]
     ends = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))
-    c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-    is_letter = letter[c] if len(c) else np.zeros(0, bool)
-    at = np.flatnonzero(is_letter)
-    text = np.searchsorted(ends, at, side="right")
-    joined = np.zeros(len(at), bool)  # to the letter before
-    joined[1:] = (np.diff(at) == 1) & (text[1:] == text[:-1])
-    own = c[at]
+    c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), "<u4")
+    at = np.flatnonzero(letter[c]) if len(c) else np.zeros(0, np.int64)
+    before = np.zeros(len(at), bool)  # is a letter of the same text right before
+    before[1:] = np.diff(at) == 1
+    starts = np.searchsorted(at, np.append(0, ends)[:-1])
+    before[starts[starts < len(at)]] = False
+    own, first = c[at], np.flatnonzero(~before)
+    return own, first, np.searchsorted(ends, at[first], side="right"), script[own[first]]
+
+
+def features(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Trigram and four-gram buckets of all letters of words, which begin at `first`."""
+    c = own.astype(np.int64)
+    joined = np.ones(len(c), bool)  # to the letter before
+    joined[first] = False
     shift = lambda x, ok: np.where(ok, np.roll(x, 1), 0)
-    before = shift(own, joined)
+    before = shift(c, joined)
     two = shift(before, joined)
     follows = np.roll(joined, -1)
-    if len(at):
+    if len(c):
         follows[-1] = False
-    after = np.where(follows, np.roll(own, -1), 0)
-    tri = (before << 42 ^ own << 21 ^ after).astype(np.uint64)
+    after = np.where(follows, np.roll(c, -1), 0)
+    tri = (before << 42 ^ c << 21 ^ after).astype(np.uint64)
     tri_h = (mix(tri) >> np.uint64(64 - BITS)).astype(np.int64)
-    four_h = (mix(tri ^ mix(two.astype(np.uint64) + np.uint64(7))) >> np.uint64(64 - BITS)).astype(np.int64)
-    first = np.flatnonzero(~joined)
-    return tri_h, four_h, first, text[first], script[own[first]]
+    return tri_h, (mix(tri ^ mix(two.astype(np.uint64) + np.uint64(7))) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def distinct(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The letters and first letters of the distinct words, and which of them each word is. Words are told apart by 64 bits."""
+    length = np.diff(np.append(first, len(own)))
+    place = np.arange(len(own)) - np.repeat(first, length)
+    hashes = mix(np.add.reduceat(_symbol(own) * _place(place), first) + length.astype(np.uint64))
+    _, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+    n = length[at]
+    starts = np.cumsum(n) - n
+    return own[np.repeat(first[at] - starts, n) + np.arange(n.sum())], starts, which.reshape(-1)
+
+
+def _symbol(c: np.ndarray) -> np.ndarray:
+    return mix((c.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _place(place: np.ndarray) -> np.ndarray:
+    """An odd multiplier for each place in a word."""
+    return mix(np.arange(int(place.max()) + 1, dtype=np.uint64) + np.uint64(3))[place] | np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -87,7 +115,8 @@ def _counts(languages: list[str]):
         for batch in batches:
             for part in blocks(batch, "text", BLOCK):
                 lang = np.array([number[x] for x in part.column("lang").to_pylist()], np.int64)
-                tri, four, first, text, script = features(part.column("text").to_pylist())
+                letter, first, text, script = letters_of(part.column("text").to_pylist())
+                tri, four = features(letter, first)
                 letters = np.diff(np.append(first, len(tri)))
                 of = lang[np.repeat(text, letters)]
                 for values, start, width, own, weights in ((tri, 0, 1 << BITS, of, None), (four, 1 << BITS, 1 << BITS, of, None), (script, 2 << BITS, len(SCRIPT_NAMES), lang[text], letters)):
@@ -101,14 +130,17 @@ def _counts(languages: list[str]):
     return run
 
 
-def train(labelled: DataFrame, rows_per_language: int = 4000) -> Model:
+def train(labelled: DataFrame, rows_per_language: int = 4000, max_languages: int = 256) -> Model:
     """Fits on a sample of labelled (text, lang) rows, by a hash of the text, of about rows_per_language rows of each language.
 
-    To the driver comes a bounded table: a count per language and bucket, of which there are 2 * 2 ** BITS and the scripts.
+    To the driver comes a bounded table: a count per language, of which more than max_languages are an error, and bucket, of which
+    there are 2 * 2 ** BITS and the scripts.
     """
     small_batches(labelled.sparkSession)
     labelled = labelled.select("text", "lang").where("lang is not null and text is not null")
-    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    n = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(max_languages + 1).collect()}
+    if len(n) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
     languages = sorted(n)
     if not languages:
         return Model((), np.zeros((1 << BITS, 0)), np.zeros((1 << BITS, 0)), np.zeros((len(SCRIPT_NAMES), 0), bool))
@@ -154,13 +186,15 @@ def predict(texts: list[str | None], model: Model, penalty: float) -> list[tuple
     out: list = [("und", 0.0, [])] * len(texts)
     if not model.languages:
         return out
-    tri, four, first, text, script = features(texts)
+    own, first, text, script = letters_of(texts)
     if not len(first):
         return out
-    words = np.add.reduceat(model.tri[tri] + model.four[four], first, axis=0).astype(np.float64)
+    once, starts, which = distinct(own, first)
+    tri, four = features(once, starts)
+    words = np.add.reduceat(model.tri[tri] + model.four[four], starts, axis=0).astype(np.float64)[which]
     allowed = model.allowed[script]
     words -= 50.0 * (~allowed & allowed.any(1, keepdims=True))
-    letters = np.diff(np.append(first, len(tri)))
+    letters = np.diff(np.append(first, len(own)))
     bounds = np.searchsorted(text, np.arange(len(texts) + 1))
     for i in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = bounds[i], bounds[i + 1]
@@ -215,6 +249,7 @@ def train_on(docs: DataFrame) -> Model:
     return train(docs.where(~held_out()))
 
 
+@settled
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, train_on(docs))
