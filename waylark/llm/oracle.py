@@ -49,4 +49,13 @@ e AS (SELECT doc_id, size, no, key, e, total, CAST(e * n + queued AS DOUBLE) / t
 c AS (SELECT doc_id, size, sum(size) OVER (ORDER BY f, no, key, doc_id, size, e ROWS UNBOUNDED PRECEDING) <= total AS ok FROM e WHERE f <= 2)
 SELECT q.doc_id, q.size, q.n AS source_size, q.target, CAST(coalesce(x.taken, 0) AS BIGINT) AS taken FROM q LEFT JOIN (SELECT doc_id, sum(size) AS taken FROM c WHERE ok GROUP BY 1) x ON x.doc_id = q.doc_id"""
 
-ORACLE_SQL = {"op2_jaccard_join": OP2, "op5_decontaminate": OP5, "op6_chat_format": OP6, "op8_warc": OP8, "op10_mixing": OP10}
+#: Products of 64 components, added up in the order in which the operator does: eight running sums, then these by pairs.
+_SUMS = [" + ".join(f"a.v[{8 * i + j + 1}] * b.v[{8 * i + j + 1}]" for i in range(8)) for j in range(8)]
+_PRODUCT = "((({0}) + ({1})) + (({2}) + ({3}))) + ((({4}) + ({5})) + (({6}) + ({7})))".format(*_SUMS)
+OP7 = f"""WITH e AS MATERIALIZED (SELECT DISTINCT vec_id, v FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL)
+WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, max({_PRODUCT}) AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 GROUP BY 1, 2)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20"""
+
+ORACLE_SQL = {"op2_jaccard_join": OP2, "op5_decontaminate": OP5, "op6_chat_format": OP6, "op7_ann": OP7, "op8_warc": OP8, "op10_mixing": OP10}
