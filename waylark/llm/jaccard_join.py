@@ -45,6 +45,8 @@ HOT_MOST = 1 << 18
 MATCHES = 128
 #: Sets of a group that are verified as one chain, about.
 CHAIN_ROWS = 256
+#: Shingles that a task adds up at once (64 MB).
+COUNTED = 1 << 23
 #: Ids of documents that are broadcast at most (8 MB); more are joined by a shuffle.
 BROADCAST_MOST = 1_000_000
 _TOP = np.uint64(32)
@@ -72,11 +74,22 @@ def _two(x: np.ndarray) -> tuple[int, int]:
 
 
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The top halves of all shingles' hashes, repeats in a document included; texts shorter than a shingle have none."""
+    """The top halves of all shingles' hashes and their number, repeats in a document included, added up over COUNTED of them."""
+    held, n = [], 0
+
+    def told() -> pa.RecordBatch:
+        top, count = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(top.view(np.int32)), pa.array(count)], ["top", "n"])
+
     for batch in batches:
         for part in blocks(batch, "text"):
-            tops = row_grams(*word_hashes(part.column("text"), SPACE), WORDS)[0] >> _TOP
-            yield pa.RecordBatch.from_arrays([pa.array(tops.astype(np.uint32).view(np.int32))], ["top"])
+            held.append((row_grams(*word_hashes(part.column("text"), SPACE), WORDS)[0] >> _TOP).astype(np.uint32))
+            n += len(held[-1])
+            if n >= COUNTED:
+                yield told()
+                held, n = [], 0
+    if held:
+        yield told()
 
 
 def _prefixes(hot):
@@ -191,7 +204,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text")
-    hot = docs.select("text").mapInArrow(_tops, "top int").groupBy("top").count().where(F.col("count") >= HOT_LEAST)
+    hot = docs.select("text").mapInArrow(_tops, "top int, n long").groupBy("top").agg(F.sum("n").alias("count")).where(F.col("count") >= HOT_LEAST)
     hot = hot.orderBy(F.desc("count"), "top").limit(HOT_MOST).toArrow()
     top, count = hot["top"].to_numpy().view(np.uint32).astype(np.uint64), hot["count"].to_numpy()
     by = np.argsort(top)
