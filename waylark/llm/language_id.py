@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from waylark.llm.common import BLOCK, blocks, mix, settled, small_batches
 
 BITS = 16
+#: Words whose steps of the Viterbi pass are held at once.
+STEPS = 1 << 16
 #: First and last code point of scripts; 0 is any other, 1 Latin.
 SCRIPTS = (
     ("latin", 0x41, 0x24F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x370, 0x3FF), ("greek", 0x1F00, 0x1FFF), ("cyrillic", 0x400, 0x52F), ("armenian", 0x530, 0x58F),
@@ -166,21 +168,38 @@ def viterbi(s: np.ndarray, penalty: float) -> np.ndarray:
     low = np.minimum.accumulate(np.vstack([np.zeros((1, s.shape[1])), gain]), axis=0)[:-1]
     if (gain - low).max() <= penalty / 2:  # k runs of other languages need k - 1 changes at least
         return np.full(len(s), best)
-    back = np.empty(s.shape, np.int32)
-    at = np.zeros(s.shape[1])
-    own = np.arange(s.shape[1])
-    for i, row in enumerate(s):
-        top = int(at.argmax())
-        stay = at >= at[top] - penalty
-        back[i] = np.where(stay, own, top)
-        at = np.where(stay, at, at[top] - penalty) + row
+    # a step is of plain numbers, which take less time than arrays of so few; STEPS of them are kept at once, and reckoned again on the way back
+    starts, at = [], [0.0] * s.shape[1]
+    for i in range(0, len(s), STEPS):
+        starts.append(at)
+        at, back = _steps(s[i : i + STEPS], at, penalty)
     path = np.empty(len(s), np.int64)
-    path[-1] = at.argmax()
-    for i in range(len(s) - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
+    own = at.index(max(at))
+    for i in reversed(range(0, len(s), STEPS)):
+        if i + STEPS < len(s):
+            _, back = _steps(s[i : i + STEPS], starts[i // STEPS], penalty)
+        for j in reversed(range(len(back))):
+            path[i + j] = own
+            own = back[j][own]
     return path
 
 
+def _steps(s: np.ndarray, at: list[float], penalty: float) -> tuple[list[float], list[list[int]]]:
+    """The best sums after the words of s, and for each word where the best path to each language came from."""
+    back, stay = [], list(range(len(at)))
+    for row in s.tolist():
+        best = max(at)
+        least = best - penalty
+        if min(at) >= least:
+            back.append(stay)
+            at = [a + x for a, x in zip(at, row)]
+        else:
+            top = at.index(best)
+            back.append([j if a >= least else top for j, a in enumerate(at)])
+            at = [(a if a >= least else least) + x for a, x in zip(at, row)]
+    return at, back
+
+
 def predict(texts: list[str | None], model: Model, penalty: float) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Per text: language, score, spans of (first word, word after the last, language)."""
     out: list = [("und", 0.0, [])] * len(texts)
