@@ -20,6 +20,10 @@ from waylark.llm.language_id import keep_identified, train_on
 from waylark.llm.mixing import mix_sources
 
 
+#: Rows of five numbers that are broadcast at most (20 MB); more are joined by a shuffle.
+BROADCAST_MOST = 500_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no text, no letter, or no language with a fifth of it."""
     return keep_identified(docs, train_on(docs))
@@ -43,8 +47,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             docs = docs.withColumnRenamed(c, unused(docs, f"{c}_given")[0])
     (row,) = unused(docs, "row_number")
     docs = staged(docs.withColumn(row, F.monotonically_increasing_id()), "mix-input")  # once written, the numbers stay
-    found = mix_sources(docs, row_id=row).where("taken > 0").select(row, "size", "source_size", "target", "taken")
-    return docs.join(found, row).drop(row)
+    found = staged(mix_sources(docs, row_id=row).where("taken > 0").select(row, "size", "source_size", "target", "taken"), "mix-taken")
+    return docs.join(F.broadcast(found) if found.count() <= BROADCAST_MOST else found, row).drop(row)
 
 
 STAGES = [("language ID", language), ("n-gram Jaccard join", duplicates), ("benchmark decontamination", benchmark), ("mixing sources", mixture)]

@@ -306,7 +306,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     again = staged(each.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
     by_id = stays.where("doc_id is not null").select("doc_id").union(each.where("n_shingles = 0 and doc_id is not null").select("doc_id"))
     once = staged(by_id.join(again, "doc_id", "left_anti").select(F.col("doc_id").alias(keep)), "kept-once")
-    out = docs.join(once, F.col("doc_id") == F.col(keep), "left_semi")
+    out = docs.join(F.broadcast(once) if once.count() <= BROADCAST_MOST else once, F.col("doc_id") == F.col(keep), "left_semi")
     if again.isEmpty() and each.where("doc_id is null").isEmpty():
         return out
     unsure = docs.where("doc_id is null").union(docs.join(again.select(F.col("doc_id").alias(keep)), F.col("doc_id") == F.col(keep), "left_semi"))
