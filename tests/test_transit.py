@@ -1,4 +1,5 @@
 import importlib
+import random
 import sys
 import zipfile
 
@@ -171,6 +172,37 @@ def test_loops_and_overtaking_trips_make_patterns(spark, tmp_path):
     assert ask(spark, planner.prepare(net), "B", "A", H("08:00:00"))[0] == [("transit", "B", "A", "l1", H("08:10:00"), H("08:20:00"))]
 
 
+def test_prepared_trips_are_those_that_are_ever_boarded(spark, tmp_path):
+    rng, clock = random.Random(7), lambda s: f"{s // 3600:02d}:{s // 60 % 60:02d}:00"
+    trips = []
+    for _ in range(60):  # some overtake others, some call at the same second
+        at = [28800 + 60 * rng.randrange(200)]
+        at += [at[0] + 60 * rng.randrange(1, 40)]
+        trips.append([*at, at[1] + 60 * rng.randrange(1, 40)])
+    trips += [trips[0]] * 9
+    times = [f"q{i:02d},{clock(a)},{clock(a)},{s},{n},,0,0,,,," for i, t in enumerate(trips) for n, (s, a) in enumerate(zip("ABC", t))]
+    at = folder(tmp_path, stop_times=[TIMES, *times], trips=[FILES["trips"][0], *(f"1,s,q{i:02d},,,," for i in range(len(trips)))])
+    net = Feed(spark, at).network()
+    ready = planner.prepare(net)
+    calls = net.timed_trips.select("trip_rank", "trip_idx", F.explode("calls").alias("c")).select("trip_rank", "trip_idx", "c.pos", "c.arr").collect()
+    ranks = {}
+    for c in calls:
+        ranks.setdefault((c["pos"], c["arr"]), []).append(c["trip_rank"])
+    ends = {f(r) for r in ranks.values() for f in (min, max)}
+    kept = {r["trip_rank"]: r["trip_idx"] for r in ready.trips.collect()}
+    assert set(kept) == ends and len(kept) < len(trips) and kept == {c["trip_rank"]: c["trip_idx"] for c in calls if c["trip_rank"] in ends}
+    assert ready.boards.where(F.size(F.array_distinct("trips.board")) < F.size("trips")).count() == 0
+    asked = ready.places.crossJoin(spark.range(28000, 50000, 150).withColumnRenamed("id", "s")).withColumn("t", F.when(F.col("mode") == "departure", F.col("s")).otherwise(-F.col("s")))
+    got = {(r["mode"], abs(r["pos"]), abs(r["t"])): abs(r["trip_rank"]) for r in planner.next_trip(asked, ready.boards).collect()}
+    want = {}
+    for mode, pick, fits in (("departure", min, lambda a, t: a >= t), ("arrival", max, lambda a, t: a <= t)):
+        for pos in range(3):
+            for t in range(28000, 50000, 150):
+                if left := [c["trip_rank"] for c in calls if c["pos"] == pos and fits(c["arr"], t)]:
+                    want[mode, pos, t] = pick(left)
+    assert got == want
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf, name):
     assert differs(spark, connect(sf), sf, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name]) is None

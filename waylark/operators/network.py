@@ -71,16 +71,23 @@ class Network:
             "left").select("trip_id", F.col("found").alias("shape_idx"))
 
     @property
-    def transfers_resolved(self) -> DataFrame:
-        """Transfers with the ids of their stops, of the trips they are for, if any, and how long they take."""
+    def transfer_times(self) -> DataFrame:
+        """Transfers with the ids of their stops and how long they take."""
         out = self.transfers
         for x in ("from", "to"):
             out = out.join(self.stops.select(F.col("stop_idx").alias(f"{x}_stop_idx"), F.col("stop_id").alias(f"{x}_id"),
                 F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")), f"{x}_stop_idx")
-            out = out.join(self.trips.select(F.col("trip_idx").alias(f"{x}_trip_idx"), F.col("trip_id").alias(f"{x}_trip_id")), f"{x}_trip_idx", "left")
         metres = S.network_distance(*(F.col(c) for c in ("from_lat", "from_lon", "to_lat", "to_lon")))
         duration = F.coalesce("min_transfer_s", S.walk_seconds(metres)).cast("long").alias("duration_s")
-        return out.select("from_stop_idx", "to_stop_idx", "from_id", "to_id", "from_trip_id", "to_trip_id", duration)
+        return out.select("from_stop_idx", "to_stop_idx", "from_id", "to_id", "from_trip_idx", "to_trip_idx", duration)
+
+    @property
+    def transfers_resolved(self) -> DataFrame:
+        """Transfers with the ids of their stops, of the trips they are for, if any, and how long they take."""
+        out = self.transfer_times
+        for x in ("from", "to"):
+            out = out.join(self.trips.select(F.col("trip_idx").alias(f"{x}_trip_idx"), F.col("trip_id").alias(f"{x}_trip_id")), f"{x}_trip_idx", "left")
+        return out.select("from_stop_idx", "to_stop_idx", "from_id", "to_id", "from_trip_id", "to_trip_id", "duration_s")
 
     @property
     def stop_times_resolved(self) -> DataFrame:
@@ -135,14 +142,23 @@ class Network:
         return self.celled.groupBy("cell_x", "cell_y").agg(F.sort_array(F.collect_list("stop_idx")).alias("stop_idxs"))
 
     # trip patterns
+    def patterned_trips(self, parts: int | None = None) -> DataFrame:
+        """trip_idx, route_idx, calls (pos, stop_idx, arr, dep) in order, rroute (a pattern is a route and its sequence of stops), dep0 (its first departure).
+
+        parts: tasks that gather the calls, if known; they move once, as they are, so none are sorted before.
+        """
+        rows = self.stop_times.select("trip_idx", "route_idx", "pos", "stop_idx", "arr", "dep")
+        rows = rows.repartition(parts, "trip_idx") if parts else rows
+        calls = rows.groupBy("trip_idx", "route_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "stop_idx", "arr", "dep"))).alias("calls"))
+        key = F.concat_ws(",", F.col("route_idx").cast("string"), F.transform("calls.stop_idx", lambda s: s.cast("string")))
+        rroute = F.concat(F.col("route_idx").cast("string"), F.lit("-"), F.substring(F.md5(key), 1, 12))
+        return calls.withColumn("rroute", rroute).withColumn("dep0", F.col("calls")[0]["dep"])
+
     @cached_property
     def timed_trips(self) -> DataFrame:
-        """trip_idx, route_idx, calls (pos, stop_idx, arr, dep) in order, rroute (a pattern is a route and its sequence of stops), trip_rank by first departure."""
-        calls = self.stop_times.groupBy("trip_idx", "route_idx").agg(F.sort_array(F.collect_list(F.struct("pos", "stop_idx", "arr", "dep"))).alias("calls"))
-        key = F.concat_ws(",", F.col("route_idx").cast("string"), F.transform("calls.stop_idx", lambda s: s.cast("string")))
-        rows = calls.withColumn("rroute", F.concat(F.col("route_idx").cast("string"), F.lit("-"), F.substring(F.md5(key), 1, 12)))
-        rank = F.row_number().over(Window.partitionBy("rroute").orderBy(F.col("calls")[0]["dep"], "trip_idx"))
-        return rows.withColumn("trip_rank", rank.cast("long"))
+        """trip_idx, route_idx, calls and rroute as above, trip_rank by first departure, then trip_idx."""
+        rank = F.row_number().over(Window.partitionBy("rroute").orderBy("dep0", "trip_idx"))
+        return self.patterned_trips().withColumn("trip_rank", rank.cast("long")).drop("dep0")
 
     @cached_property
     def ranked_trips(self) -> DataFrame:

@@ -4,8 +4,9 @@ A question has query_id, from_kind, from_id, to_kind, to_id (kinds: stop, area,
 Times of arrival questions are negated, which turns latest departure into earliest arrival over the reversed timetable, so both modes
 run in the same rounds. Round r holds what r + 1 trips reach. Only improved stops go on; a round's labels are written and read again.
 
-A network is prepared once for all batches: trips with their calls, boarding times by pattern, place and half hour, footpaths. A round is
-then two joins by equal keys, to the half hour in which a trip may be boarded and to the calls of that trip, and a minimum per stop.
+A network is prepared once for all batches: trips with their calls, boarding times by pattern, place and half hour, footpaths. Of trips
+that may be boarded at one place and second only the first is kept (and the last, for the reversed timetable), so what a round reads has
+no more rows than the day has seconds for each place, however many trips there are. A round is then two joins by equal keys, to the half hour in which a trip may be boarded and to the calls of that trip, and a minimum per stop.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ MAX_ROUNDS = 15
 BUCKET_S = 1800
 #: Rows of what a round boards at that are broadcast at most; more meet the timetable by a shuffle.
 BROADCAST_MOST = 500_000
+#: Trips whose calls a task gathers, about.
+TRIPS_A_TASK = 50_000
 
 
 # ---------------------------------------------------------------- locations
@@ -75,7 +78,7 @@ class Prepared:
     net: Network
     places: DataFrame  # mode, stop_idx, rroute, pos, first (bucket)
     boards: DataFrame  # mode, rroute, pos, bucket, trips (board, trip_rank), later (trip_rank)
-    trips: DataFrame  # rroute, trip_rank, trip_idx, calls (pos, stop_idx, arr, dep)
+    trips: DataFrame  # those that may be boarded: rroute, trip_rank, trip_idx, calls (pos, stop_idx, arr, dep)
     transfers: DataFrame  # kind, from_stop_idx, to_stop_idx, duration_s
     walks: DataFrame  # likewise
     served: DataFrame  # stop_idx
@@ -89,13 +92,38 @@ def _bucket(time: Column) -> Column:
     return F.floor(time / BUCKET_S)
 
 
+def ranks(trips: DataFrame, taken: DataFrame) -> DataFrame:
+    """rroute, trip_idx, trip_rank of the taken trips (rroute, trip_idx): their place among all trips (rroute, dep0, trip_idx) of the pattern.
+
+    Trips are numbered within their second of departure, to which the trips of the seconds before are added, so no pattern fills a task.
+    """
+    from pyspark.sql import Window
+
+    number = F.row_number().over(Window.partitionBy("rroute", "dep0").orderBy("trip_idx"))
+    own = trips.select("rroute", "dep0", "trip_idx").withColumn("number", number).join(taken, ["rroute", "trip_idx"], "left_semi")
+    before = F.sum("count").over(Window.partitionBy("rroute").orderBy("dep0").rowsBetween(Window.unboundedPreceding, -1))
+    at = trips.groupBy("rroute", "dep0").count().select(F.col("rroute").alias("of"), F.col("dep0").alias("at"), F.coalesce(before, F.lit(0)).alias("before"))
+    on = own.join(at, (F.col("rroute") == F.col("of")) & F.col("dep0").eqNullSafe(F.col("at")))
+    return on.select("rroute", "trip_idx", (F.col("before") + F.col("number")).cast("long").alias("trip_rank"))
+
+
 def prepare(net: Network) -> Prepared:
     from pyspark.sql import Window
 
-    trips = staged(net.timed_trips.select("rroute", "trip_rank", "trip_idx", "calls"), "trips")
-    t = trips.select("rroute", "trip_rank", F.explode("calls").alias("c")).select("rroute", "trip_rank", "c.*")
-    one = t.select(F.lit("departure").alias("mode"), "rroute", "trip_rank", "pos", "stop_idx", F.col("arr").alias("board"))
-    both = one.union(t.select(F.lit("arrival"), "rroute", -F.col("trip_rank"), -F.col("pos"), "stop_idx", -F.col("arr")))
+    rows = staged(net.patterned_trips(net.trips.count() // TRIPS_A_TASK + 1).select("rroute", "dep0", "trip_idx", "calls"), "trips-all")
+    # of all trips at a place at the same second only the first in rank is ever boarded, or the last on the way back
+    t = rows.select("rroute", "dep0", "trip_idx", F.explode("calls").alias("c")).groupBy("rroute", "c.pos", "c.arr", "dep0")
+    t = t.agg(F.min("trip_idx").alias("low"), F.max("trip_idx").alias("high"), F.min("c.stop_idx").alias("stop_idx"))
+    least, most = F.min(F.struct("dep0", "low"))["low"], F.max(F.struct("dep0", "high"))["high"]
+    ends = staged(t.groupBy("rroute", "pos", "arr").agg(least.alias("low"), most.alias("high"), F.min("stop_idx").alias("stop_idx")), "ends")
+    taken = staged(ends.select("rroute", F.explode(F.array("low", "high")).alias("trip_idx")).distinct(), "taken")
+    near = F.broadcast if taken.count() <= BROADCAST_MOST else lambda df: df
+    ranked = staged(ranks(rows, near(taken)), "ranks")
+    trips = staged(rows.select("rroute", "trip_idx", "calls").join(near(ranked), ["rroute", "trip_idx"]).select("rroute", "trip_rank", "trip_idx", "calls"), "trips")
+    for end in ("low", "high"):
+        ends = ends.join(near(ranked.select("rroute", F.col("trip_idx").alias(end), F.col("trip_rank").alias(f"{end}_rank"))), ["rroute", end])
+    one = ends.select(F.lit("departure").alias("mode"), "rroute", F.col("low_rank").alias("trip_rank"), "pos", "stop_idx", F.col("arr").alias("board"))
+    both = one.union(ends.select(F.lit("arrival"), "rroute", -F.col("high_rank"), -F.col("pos"), "stop_idx", -F.col("arr")))
     of = both.groupBy("mode", "rroute", "pos", _bucket(F.col("board")).alias("bucket"))
     of = of.agg(F.min("stop_idx").alias("stop_idx"), F.collect_list(F.struct("board", "trip_rank")).alias("trips"), F.min("trip_rank").alias("least"))
     place = Window.partitionBy("mode", "rroute", "pos").orderBy("bucket")
@@ -110,7 +138,7 @@ def prepare(net: Network) -> Prepared:
     most = places.groupBy("stop_idx").count().agg(F.max("count")).first()[0] or 1
     served = staged(places.select("stop_idx").distinct(), "served")
     kind = lambda name, df: staged(df.select(F.lit(name).alias("kind"), "from_stop_idx", "to_stop_idx", "duration_s"), name)
-    return Prepared(net, places, staged(boards, "boards-all"), trips, kind("transfer", net.transfers_resolved), kind("walk", net.walk_edges), served, most)
+    return Prepared(net, places, staged(boards, "boards-all"), trips, kind("transfer", net.transfer_times), kind("walk", net.walk_edges), served, most)
 
 
 # ---------------------------------------------------------------- one round
@@ -297,7 +325,7 @@ class Plan:
 
 
 def footpaths(net: Network, allow_walk: bool = True) -> DataFrame:
-    out = net.transfers_resolved.select(F.lit("transfer").alias("kind"), "from_stop_idx", "to_stop_idx", "duration_s")
+    out = net.transfer_times.select(F.lit("transfer").alias("kind"), "from_stop_idx", "to_stop_idx", "duration_s")
     return out.union(net.walk_edges.select(F.lit("walk"), "from_stop_idx", "to_stop_idx", "duration_s")) if allow_walk else out
 
 
