@@ -203,6 +203,13 @@ def test_prepared_trips_are_those_that_are_ever_boarded(spark, tmp_path):
     assert got == want
 
 
+def test_names_of_legs_are_sought_for_their_trips_only(spark, ready):
+    _, plan = ask(spark, ready, "A", "E", H("07:55:00"))
+    named = plan.named_legs()
+    assert [(r["kind"], r["long_name"], r["mode"]) for r in named.orderBy("leg_no").collect()] == [("transit", "One", "Bus"), ("walk", None, "Walk"), ("transit", "Two", "Subway")]
+    assert "LeftSemi" in named._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf, name):
     assert differs(spark, connect(sf), sf, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name]) is None

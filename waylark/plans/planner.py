@@ -253,8 +253,9 @@ class Plan:
     def named_legs(self) -> DataFrame:
         """The legs with the ids and names of their ends, their mode, and their trip's head sign and route names; footpaths have none of these."""
         net = self.net
-        of = net.trips.select("trip_idx", "route_idx", "head_sign").join(net.routes, "route_idx").select("trip_idx", "head_sign", "long_name",
-            "short_name", S.mode(F.col("route_type")).alias("of"))
+        used = self.legs.where("kind = 'transit'").select("trip_idx")  # a left join can't spare its right side the shuffle
+        of = net.trips.select("trip_idx", "route_idx", "head_sign").join(used, "trip_idx", "left_semi").join(net.routes, "route_idx")
+        of = of.select("trip_idx", "head_sign", "long_name", "short_name", S.mode(F.col("route_type")).alias("of"))
         mode = F.when(F.col("kind") == "transit", F.col("of")).when(F.col("kind") == "walk", "Walk").otherwise("Transfer")
         ends = [net.stops.select(F.col("stop_idx").alias(f"{x}_stop"), F.col("stop_id").alias(f"{x}_id"), F.col("stop_name").alias(f"{x}_name"),
             F.col("lat").alias(f"{x}_lat"), F.col("lon").alias(f"{x}_lon")) for x in ("from", "to")]
