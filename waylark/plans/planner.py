@@ -25,8 +25,10 @@ MAX_ROUNDS = 15
 BUCKET_S = 1800
 #: Rows of what a round boards at that are broadcast at most; more meet the timetable by a shuffle.
 BROADCAST_MOST = 500_000
-#: Trips whose calls a task gathers, about.
-TRIPS_A_TASK = 50_000
+#: Trips whose calls a task gathers, about: few, or as many as leave DIRECT tasks, but at most the second number.
+TRIPS_A_TASK = (50_000, 400_000)
+#: To so many tasks Spark writes rows as they come; for more it sorts them first, which spills.
+DIRECT = 200
 
 
 # ---------------------------------------------------------------- locations
@@ -110,7 +112,9 @@ def ranks(trips: DataFrame, taken: DataFrame) -> DataFrame:
 def prepare(net: Network) -> Prepared:
     from pyspark.sql import Window
 
-    rows = staged(net.patterned_trips(net.trips.count() // TRIPS_A_TASK + 1).select("rroute", "dep0", "trip_idx", "calls"), "trips-all")
+    count = net.trips.count()
+    few, many = (count // n + 1 for n in TRIPS_A_TASK)
+    rows = staged(net.patterned_trips(max(min(few, DIRECT), many)).select("rroute", "dep0", "trip_idx", "calls"), "trips-all")
     # of all trips at a place at the same second only the first in rank is ever boarded, or the last on the way back
     t = rows.select("rroute", "dep0", "trip_idx", F.explode("calls").alias("c")).groupBy("rroute", "c.pos", "c.arr", "dep0")
     t = t.agg(F.min("trip_idx").alias("low"), F.max("trip_idx").alias("high"), F.min("c.stop_idx").alias("stop_idx"))
